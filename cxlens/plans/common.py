@@ -9,9 +9,15 @@ from cxlens.functions import avg_money, rate_pct, round_half, round_money
 
 c = F.col
 
-REVIEWED = c("review_score").isNotNull()
-DELIVERED = c("is_late").isNotNull()
-DETRACTOR = c("is_detractor") == 1
+def reviewed() -> Column:
+    return c("review_score").isNotNull()
+
+def delivered() -> Column:
+    return c("is_late").isNotNull()
+
+def detractor() -> Column:
+    return c("is_detractor") == 1
+
 
 
 def n_rows(name: str) -> Column:
@@ -33,7 +39,7 @@ def money0(expr: Column, name: str) -> Column:
 
 
 def detractor_gmv(name: str) -> Column:
-    return money0(F.when(DETRACTOR, c("order_gmv")).otherwise(F.lit(0)), name)
+    return money0(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0)), name)
 
 
 def mean_money(expr: Column, digits: int, name: str) -> Column:

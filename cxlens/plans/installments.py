@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.functions import round_half
 from cxlens.operators.shares import order_rank
-from cxlens.plans.common import (DELIVERED, DETRACTOR, REVIEWED, avg2, c, detractor_gmv,
+from cxlens.plans.common import (delivered, detractor, reviewed, avg2, c, detractor_gmv,
                                  mean_money, money0, n_rows, pct_of, sum_long)
 from cxlens.plans.order_view import INSTALLMENT_BUCKETS
 from cxlens.plans.registry import report
 
-SIX_PLUS = c("installment_bucket") == "6_plus_installments"
-SINGLE = c("installment_bucket") == "1_installment"
+def six_plus() -> Column:
+    return c("installment_bucket") == "6_plus_installments"
+
+def single_pay() -> Column:
+    return c("installment_bucket") == "1_installment"
+
 
 _USES = ["review_score", "installment_bucket", "is_detractor", "is_promoter", "order_gmv"]
 
 
 def _share_6plus():
-    return F.avg(F.when(SIX_PLUS, F.lit(1.0)).otherwise(F.lit(0.0))) * 100
+    return F.avg(F.when(six_plus(), F.lit(1.0)).otherwise(F.lit(0.0))) * 100
 
 
 @report("inst_by_bucket", uses=_USES)
 def inst_by_bucket(v: DataFrame) -> DataFrame:
-    return (v.filter(REVIEWED & c("installment_bucket").isNotNull())
+    return (v.filter(reviewed() & c("installment_bucket").isNotNull())
             .groupBy("installment_bucket").agg(
                 n_rows("orders"), pct_of("is_detractor", "detractor_rate_pct"),
                 pct_of("is_promoter", "promoter_rate_pct"), avg2("review_score", "avg_review_score"),
@@ -34,7 +38,7 @@ def inst_by_bucket(v: DataFrame) -> DataFrame:
 
 @report("inst_by_category", uses=_USES + ["category_name", "max_installments"])
 def inst_by_category(v: DataFrame, min_rows: int = 200) -> DataFrame:
-    return (v.filter(REVIEWED & c("category_name").isNotNull()).groupBy("category_name").agg(
+    return (v.filter(reviewed() & c("category_name").isNotNull()).groupBy("category_name").agg(
         n_rows("orders"), round_half(F.avg("max_installments"), 1).alias("avg_installments"),
         round_half(_share_6plus(), 1).alias("pct_6plus_installments"),
         pct_of("is_detractor", "detractor_rate_pct"),
@@ -45,7 +49,7 @@ def inst_by_category(v: DataFrame, min_rows: int = 200) -> DataFrame:
 @report("inst_late_combined", uses=_USES + ["is_late"])
 def inst_late_combined(v: DataFrame) -> DataFrame:
     status = F.when(c("is_late") == 1, "late").otherwise("on_time")
-    return (v.filter(REVIEWED & c("installment_bucket").isNotNull() & DELIVERED)
+    return (v.filter(reviewed() & c("installment_bucket").isNotNull() & delivered())
             .groupBy("installment_bucket", status.alias("delivery_status")).agg(
                 n_rows("orders"), pct_of("is_detractor", "detractor_rate_pct"),
                 avg2("review_score", "avg_review_score"), detractor_gmv("detractor_gmv"))
@@ -54,20 +58,20 @@ def inst_late_combined(v: DataFrame) -> DataFrame:
 
 @report("inst_monthly_trend", uses=_USES + ["order_month", "max_installments"])
 def inst_monthly_trend(v: DataFrame) -> DataFrame:
-    return (v.filter(REVIEWED).groupBy("order_month").agg(
+    return (v.filter(reviewed()).groupBy("order_month").agg(
         n_rows("total_orders"), round_half(F.avg("max_installments"), 2).alias("avg_installments"),
-        sum_long(F.when(SIX_PLUS, 1).otherwise(0), "orders_6plus"),
+        sum_long(F.when(six_plus(), 1).otherwise(0), "orders_6plus"),
         round_half(_share_6plus(), 1).alias("pct_6plus"),
-        round_half(F.avg(F.when(SIX_PLUS, c("is_detractor"))) * 100, 1).alias("detractor_rate_6plus"))
+        round_half(F.avg(F.when(six_plus(), c("is_detractor"))) * 100, 1).alias("detractor_rate_6plus"))
         .orderBy("order_month"))
 
 
 @report("inst_headline", uses=_USES)
 def inst_headline(v: DataFrame) -> DataFrame:
-    return v.filter(REVIEWED).agg(
-        round_half(F.avg(F.when(SINGLE, c("is_detractor"))) * 100, 1).alias("single_pay_detractor_pct"),
-        round_half(F.avg(F.when(SIX_PLUS, c("is_detractor"))) * 100, 1).alias("high_install_detractor_pct"),
-        money0(F.when(SIX_PLUS & DETRACTOR, c("order_gmv")).otherwise(F.lit(0)),
+    return v.filter(reviewed()).agg(
+        round_half(F.avg(F.when(single_pay(), c("is_detractor"))) * 100, 1).alias("single_pay_detractor_pct"),
+        round_half(F.avg(F.when(six_plus(), c("is_detractor"))) * 100, 1).alias("high_install_detractor_pct"),
+        money0(F.when(six_plus() & detractor(), c("order_gmv")).otherwise(F.lit(0)),
                "high_install_detractor_gmv"),
-        F.count(F.when(SIX_PLUS, 1)).alias("high_install_orders"),
-        mean_money(F.when(SIX_PLUS, c("order_gmv")), 2, "avg_high_install_order_value"))
+        F.count(F.when(six_plus(), 1)).alias("high_install_orders"),
+        mean_money(F.when(six_plus(), c("order_gmv")), 2, "avg_high_install_order_value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import pct, ratio, round_half, round_money
 from cxlens.operators import relative_hotspots, share_of_total
-from cxlens.plans.common import (DELIVERED, DETRACTOR, REVIEWED, avg2, c, detractor_gmv,
+from cxlens.plans.common import (delivered, detractor, reviewed, avg2, c, detractor_gmv,
                                  money0, n_rows, pct_of, sum_long)
 from cxlens.plans.registry import report
 
@@ -23,14 +23,14 @@ _USES = ["review_score", "is_late", "customer_state", "is_detractor", "order_gmv
 
 
 def national_rate(v: DataFrame) -> DataFrame:
-    return v.filter(REVIEWED & DELIVERED).agg(F.avg("is_late").alias("national_late_rate"))
+    return v.filter(reviewed() & delivered()).agg(F.avg("is_late").alias("national_late_rate"))
 
 
 def state_rates(v: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    return (v.filter(REVIEWED & DELIVERED).groupBy("customer_state").agg(
+    return (v.filter(reviewed() & delivered()).groupBy("customer_state").agg(
         n_rows("reviewed_orders"), F.avg("is_late").alias("late_rate"),
         F.avg("is_detractor").alias("detractor_rate"), F.sum("order_gmv").alias("total_gmv"),
-        F.sum(F.when(DETRACTOR, c("order_gmv")).otherwise(F.lit(0))).alias("detractor_gmv"))
+        F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))).alias("detractor_gmv"))
         .filter(c("reviewed_orders") >= min_rows))
 
 
@@ -42,11 +42,11 @@ def hotspot_states(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTO
 
 @report("region_scorecard", uses=_USES)
 def region_scorecard(v: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    return (v.filter(REVIEWED & DELIVERED).groupBy("customer_state").agg(
+    return (v.filter(reviewed() & delivered()).groupBy("customer_state").agg(
         n_rows("reviewed_orders"), pct_of("is_late", "late_rate_pct"),
         pct_of("is_detractor", "detractor_rate_pct"), avg2("review_score", "avg_review_score"),
         detractor_gmv("detractor_gmv"), money0(c("order_gmv"), "total_gmv"),
-        round_half(pct(F.sum(F.when(DETRACTOR, c("order_gmv")).otherwise(F.lit(0))),
+        round_half(pct(F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))),
                        F.sum("order_gmv")), 1).alias("detractor_gmv_pct"))
         .filter(c("reviewed_orders") >= min_rows).orderBy(F.desc("late_rate_pct")))
 
@@ -84,7 +84,7 @@ def region_hotspot_summary(v: DataFrame, min_rows: int = MIN_ROWS,
 @report("region_hotspot_root_causes", uses=_USES + ["root_cause"])
 def region_hotspot_root_causes(v: DataFrame, min_rows: int = MIN_ROWS,
                                factor: float = FACTOR) -> DataFrame:
-    per_key = v.filter(DETRACTOR).groupBy("customer_state", "root_cause").agg(n_rows("n"))
+    per_key = v.filter(detractor()).groupBy("customer_state", "root_cause").agg(n_rows("n"))
     hits = per_key.join(hotspot_states(v, min_rows, factor), "customer_state", "left_semi")
     out = hits.groupBy("root_cause").agg(sum_long("n", "detractor_reviews"))
     return share_of_total(out, "detractor_reviews", "pct_of_hotspot_detractors").orderBy(
@@ -93,7 +93,7 @@ def region_hotspot_root_causes(v: DataFrame, min_rows: int = MIN_ROWS,
 
 @report("region_monthly_trend", uses=_USES + ["order_month"])
 def region_monthly_trend(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
-    per_key = (v.filter(REVIEWED & DELIVERED).groupBy("order_month", "customer_state").agg(
+    per_key = (v.filter(reviewed() & delivered()).groupBy("order_month", "customer_state").agg(
         n_rows("n"), F.sum("is_late").alias("late"), F.sum("is_detractor").alias("det")))
     hs = hotspot_states(v, min_rows, factor).withColumn("_hot", F.lit(True))
     typed = (per_key.join(hs, "customer_state", "left")

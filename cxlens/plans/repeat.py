@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import day_diff, flag, pct, round_half, round_money, tier
 from cxlens.operators import event_sequence, first_event_then_next, share_of_total
-from cxlens.plans.common import DETRACTOR, REVIEWED, c, n_rows, sum_long
+from cxlens.plans.common import detractor, reviewed, c, n_rows, sum_long
 from cxlens.plans.registry import report
 
 _USES = ["review_score", "customer_unique_id", "is_detractor", "is_promoter", "order_gmv",
@@ -21,7 +21,7 @@ _USES = ["review_score", "customer_unique_id", "is_detractor", "is_promoter", "o
 
 
 def customer_complaints(v: DataFrame) -> DataFrame:
-    return v.filter(REVIEWED).groupBy("customer_unique_id").agg(
+    return v.filter(reviewed()).groupBy("customer_unique_id").agg(
         n_rows("total_orders"), sum_long("is_detractor", "complaint_count"),
         sum_long("is_promoter", "promoter_count"),
         F.round(F.sum("order_gmv"), 2).alias("lifetime_gmv"),
@@ -63,8 +63,8 @@ def rpt_profile(v: DataFrame) -> DataFrame:
 
 @report("rpt_return_after_complaint", uses=_USES)
 def rpt_return_after_complaint(v: DataFrame) -> DataFrame:
-    nxt = first_event_then_next(v.filter(REVIEWED), "customer_unique_id", "purchase_ts",
-                                DETRACTOR, "complaint_ts", "next_order_ts")
+    nxt = first_event_then_next(v.filter(reviewed()), "customer_unique_id", "purchase_ts",
+                                detractor(), "complaint_ts", "next_order_ts")
     returned = c("next_order_ts").isNotNull()
     return nxt.agg(
         n_rows("customers_with_complaint"),
@@ -78,7 +78,7 @@ def rpt_return_after_complaint(v: DataFrame) -> DataFrame:
         uses=["is_detractor", "customer_unique_id", "purchase_ts", "root_cause", "order_id",
               "review_id"])
 def rpt_root_cause_sequence(v: DataFrame, k: int = 3) -> DataFrame:
-    seq = event_sequence(v.filter(DETRACTOR).select("customer_unique_id", "purchase_ts",
+    seq = event_sequence(v.filter(detractor()).select("customer_unique_id", "purchase_ts",
                                                     "order_id", "review_id", "root_cause"),
                          "customer_unique_id", ["purchase_ts", "order_id", "review_id"], k,
                          "complaint_seq")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import ratio, round_half, round_money
 from cxlens.operators import flag_against, quantile_threshold, share_of_total
-from cxlens.plans.common import (DETRACTOR, REVIEWED, avg2, c, money0, n_rows, pct_of, sum_long)
+from cxlens.plans.common import (detractor, reviewed, avg2, c, money0, n_rows, pct_of, sum_long)
 from cxlens.plans.registry import report
 
 MIN_REVIEWED = 30
@@ -23,7 +23,7 @@ QUANTILE = 0.90
 
 def seller_rates(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
     """Unrounded per-seller rates over reviewed rows (sellers with >= min_rows)."""
-    return (v.filter(REVIEWED).groupBy("seller_id").agg(
+    return (v.filter(reviewed()).groupBy("seller_id").agg(
         n_rows("reviewed_orders"),
         F.avg("is_detractor").alias("detractor_rate"),
         F.sum("order_gmv").alias("total_gmv"),
@@ -42,7 +42,7 @@ def problem_sellers(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANT
 @report("seller_overview", uses=["review_score", "seller_id", "is_detractor", "is_promoter",
                                  "order_gmv", "is_late"])
 def seller_overview(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
-    return (v.filter(REVIEWED).groupBy("seller_id").agg(
+    return (v.filter(reviewed()).groupBy("seller_id").agg(
         n_rows("reviewed_orders"), pct_of("is_detractor", "detractor_rate_pct"),
         pct_of("is_promoter", "promoter_rate_pct"), avg2("review_score", "avg_review_score"),
         money0(c("order_gmv"), "total_gmv"), pct_of("is_late", "late_rate_pct"))
@@ -53,7 +53,7 @@ def seller_overview(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
                                 "is_late"])
 def seller_flagged(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
     # This cohort ranks the *rounded* percentage.
-    stats = (v.filter(REVIEWED).groupBy("seller_id").agg(
+    stats = (v.filter(reviewed()).groupBy("seller_id").agg(
         n_rows("reviewed_orders"), pct_of("is_detractor", "detractor_rate_pct"),
         avg2("review_score", "avg_review_score"), money0(c("order_gmv"), "total_gmv"),
         money0(c("is_detractor") * c("order_gmv"), "detractor_gmv"),
@@ -86,7 +86,7 @@ def seller_cohort_summary(v: DataFrame, min_rows: int = MIN_REVIEWED,
         uses=["review_score", "seller_id", "category_name", "is_detractor", "order_gmv"])
 def seller_problem_categories(v: DataFrame, min_rows: int = MIN_REVIEWED,
                               q: float = QUANTILE) -> DataFrame:
-    per_key = (v.filter(REVIEWED).groupBy("seller_id", "category_name").agg(
+    per_key = (v.filter(reviewed()).groupBy("seller_id", "category_name").agg(
         n_rows("n"), F.sum("is_detractor").alias("det"), F.sum("order_gmv").alias("gmv")))
     hits = per_key.join(problem_sellers(v, min_rows, q), "seller_id", "left_semi")
     return (hits.groupBy("category_name").agg(
@@ -100,7 +100,7 @@ def seller_problem_categories(v: DataFrame, min_rows: int = MIN_REVIEWED,
         uses=["review_score", "seller_id", "is_detractor", "order_gmv", "root_cause"])
 def seller_problem_root_causes(v: DataFrame, min_rows: int = MIN_REVIEWED,
                                q: float = QUANTILE) -> DataFrame:
-    per_key = v.filter(DETRACTOR).groupBy("seller_id", "root_cause").agg(n_rows("n"))
+    per_key = v.filter(detractor()).groupBy("seller_id", "root_cause").agg(n_rows("n"))
     hits = per_key.join(problem_sellers(v, min_rows, q), "seller_id", "left_semi")
     out = hits.groupBy("root_cause").agg(sum_long("n", "detractor_reviews"))
     return share_of_total(out, "detractor_reviews", "pct_of_complaints").orderBy(

@@ -44,6 +44,16 @@ def norm(v):
     return v
 
 
+def spark_to_duck(t: str) -> str:
+    simple = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+    if t in simple:
+        return simple[t]
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    return t
+
+
 def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
@@ -88,6 +98,10 @@ def main(argv):
         drows = cur.fetchall()
         t2 = time.time()
         probs = compare(srows, df.columns, drows, dcols)
+        dtypes = dict(zip(dcols, [str(x[1]) for x in cur.description]))
+        tmis = {c: (t, dtypes.get(c)) for c, t in df.dtypes if spark_to_duck(t) != dtypes.get(c)}
+        if tmis:
+            print(f"    type mismatch {name}: {tmis}")
         stypes = dict(df.dtypes)
         status = "OK " if not probs else "BAD"
         print(f"{status} {name:30s} rows={len(srows):6d} spark={t1 - t0:5.2f}s duck={t2 - t1:5.2f}s")
