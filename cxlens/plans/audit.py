@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.functions import pct, round_half, round_money
-from cxlens.operators import fk_orphans, null_audit, row_counts, running_share, share_of_total
+from cxlens.operators import exact_quantile, fk_orphans, null_audit, row_counts, running_share, share_of_total
 from cxlens.plans.order_view import order_analysis
 from cxlens.plans.registry import report
 from cxlens.sources.tables import TABLE_NAMES, Tables
@@ -120,20 +120,20 @@ def dq_fk_integrity(t: Tables) -> DataFrame:
 
 
 @report("dq_price_sanity")
-def dq_price_sanity(t: Tables, approx: bool = False) -> DataFrame:
+def dq_price_sanity(t: Tables) -> DataFrame:
     price = F.col("price")
-    # The exact median runs on integer cents: the midpoint of two cents values
-    # is exact in double, and distinct cents values are bounded by the price range.
-    cents = (price * 100).cast("bigint")
-    median_cents = (F.percentile_approx(cents, F.lit(0.5), F.lit(100_000)).cast("double")
-                    if approx else F.median(cents))
-    return t.order_items.agg(
+    stats = t.order_items.agg(
         round_money(F.min(price), 2).alias("min_price"),
         round_money(F.max(price), 2).alias("max_price"),
         round_half(F.sum(price).cast("double") / F.count(price), 2).alias("avg_price"),
-        (F.round(median_cents, 0) / 100.0).alias("median_price"),
         round_money(F.sum(price), 2).alias("total_gmv"),
         F.count(F.lit(1)).alias("total_items"))
+    # Exact median on integer cents (the midpoint of two cents values is exact
+    # in double), with bounded per-task work (operators.quantiles).
+    median = exact_quantile(t.order_items, (price * 100).cast("bigint"), 0.5, "m")
+    return (stats.crossJoin(F.broadcast(median))
+            .select("min_price", "max_price", "avg_price",
+                    (F.round("m", 0) / 100.0).alias("median_price"), "total_gmv", "total_items"))
 
 
 @report("dq_review_coverage")

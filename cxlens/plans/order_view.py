@@ -162,3 +162,18 @@ def order_analysis(t: Tables, columns: Sequence[str] | None = None) -> DataFrame
 
     derived = _derived()
     return v.select(*[derived[x].alias(x) if x in derived else F.col(x) for x in wanted])
+
+
+def materialize_order_view(t: Tables, path: str, partition_by: Sequence[str] = (),
+                           mode: str = "overwrite") -> None:
+    """Write the full view once as Parquet so many reports read it instead of re-joining.
+
+    Flat by default: the reports scan all months and read a few of the 44
+    columns, so Parquet column pruning is what matters, and one folder per
+    month multiplies small files (measured 2-3x slower per report at sf0.1).
+    Pass ``partition_by=("order_month",)`` for month-bounded reads or refreshes.
+    """
+    w = order_analysis(t).write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
