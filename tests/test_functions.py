@@ -1,0 +1,85 @@
+import datetime as dt
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cxlens.functions import (ROOT_CAUSE_RULES, classify, day_diff, dow_sunday0, month_start,
+                              round_half, round_money)
+
+
+def test_round_half_rounds_binary_value_half_away(spark):
+    df = spark.createDataFrame([(2.675,), (0.125,), (-0.125,), (1.005,), (2.5,)], "x double")
+    got = [r[0] for r in df.select(round_half("x", 2)).collect()]
+    # 1.005 * 100 is 100.4999... in binary, so it rounds down (F.round would
+    # give 1.01 from the decimal text); 2.675 * 100 is exactly 267.5.
+    assert got == [2.68, 0.13, -0.13, 1.0, 2.5]
+    assert df.select(F.round("x", 2)).collect()[3][0] == 1.01
+    got0 = [r[0] for r in df.select(round_half("x", 0)).collect()]
+    assert got0 == [3.0, 0.0, -0.0, 1.0, 3.0]
+
+
+def test_round_money_exact_decimal(spark):
+    df = spark.sql("SELECT CAST(12.345 AS DECIMAL(18,3)) AS x UNION ALL SELECT CAST(-0.5 AS DECIMAL(18,3))")
+    assert [r[0] for r in df.select(round_money("x", 2)).collect()] == [12.35, -0.5]
+    assert [r[0] for r in df.select(round_money("x", 0)).collect()] == [12.0, -1.0]
+
+
+def test_day_diff_counts_day_boundaries(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23), dt.datetime(2024, 1, 2, 1)),
+                                (dt.datetime(2024, 1, 1, 0), dt.datetime(2024, 1, 1, 5)),
+                                (dt.datetime(2024, 1, 9), dt.datetime(2024, 1, 1))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    assert [r[0] for r in df.select(day_diff("a", "b")).collect()] == [1, 0, -8]
+
+
+def test_dow_sunday_zero_and_month_start(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 7, 13, 5),), (dt.datetime(2024, 1, 13),)],
+                               "ts timestamp_ntz")
+    rows = df.select(dow_sunday0("ts").alias("d"), month_start("ts").alias("m")).collect()
+    assert [r.d for r in rows] == [0, 6]
+    assert rows[0].m == dt.datetime(2024, 1, 1)
+    assert dict(df.select(month_start("ts").alias("m")).dtypes)["m"] == "timestamp_ntz"
+
+
+def _py_classify(text, gate):
+    if not gate:
+        return None
+    low = text.lower() if text is not None else None
+    for label, words in ROOT_CAUSE_RULES:
+        if low is not None and any(w in low for w in words):
+            return label
+    return "uncategorized_complaint"
+
+
+FIXED_CASES = [
+    ("Damaged and late", 1, "late_delivery"),          # precedence
+    ("Chocolate plate", 2, "late_delivery"),           # substring false hit
+    (None, 2, "uncategorized_complaint"),              # NULL message
+    ("broken", 3, None),                               # not a detractor
+    ("It does NOT WORK", 1, "damaged_defective"),
+    ("wrong color and flimsy", 2, "wrong_item"),
+    ("customer service never replied", 2, "seller_unresponsive"),
+    ("poorly made", 1, "quality_below_expectations"),
+    ("great", None, None),                             # unreviewed
+]
+
+
+def test_classify_fixed_cases(spark):
+    df = spark.createDataFrame([(m, s) for m, s, _ in FIXED_CASES], "msg string, score int")
+    got = [r[0] for r in df.select(classify(F.col("msg"), gate=F.col("score") <= 2)).collect()]
+    assert got == [e for _, _, e in FIXED_CASES]
+
+
+WORDS = [w for _, ws in ROOT_CAUSE_RULES for w in ws] + ["fine", "LATE", "Box", "plate", " ", "ok"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.lists(st.sampled_from(WORDS), max_size=4)
+                                    .map(" ".join)),
+                          st.one_of(st.none(), st.integers(1, 5))), min_size=1, max_size=30))
+def test_classify_matches_python_loop(spark, rows):
+    df = spark.createDataFrame(rows, "msg string, score int")
+    got = [r[0] for r in df.select(classify(F.col("msg"), gate=F.col("score") <= 2)).collect()]
+    want = [_py_classify(m, s is not None and s <= 2) for m, s in rows]
+    assert got == want

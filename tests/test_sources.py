@@ -1,0 +1,39 @@
+import datetime as dt
+from decimal import Decimal
+
+from cxlens.sources import SCHEMAS, TABLE_NAMES, load_csv_tables, read_csv_table
+from cxlens.sources.files import write_tables
+
+
+def test_csv_quoted_newline_doubled_quote_and_empty_fields(spark, tmp_path):
+    p = tmp_path / "reviews.csv"
+    p.write_text(
+        "review_id,order_id,review_score,review_title,review_message,review_created_ts,review_answered_ts\n"
+        'r1,o1,1,,"Arrived ""late""\nand broken",2024-01-02 10:00:00,\n'
+        'r2,o2,5,"",fine,2024-01-03 00:00:00,2024-01-04 08:30:00\n')
+    rows = read_csv_table(spark, str(p), SCHEMAS["reviews"]).orderBy("review_id").collect()
+    assert len(rows) == 2
+    assert rows[0].review_message == 'Arrived "late"\nand broken'
+    assert rows[0].review_title is None and rows[1].review_title is None
+    assert rows[0].review_answered_ts is None
+    assert rows[1].review_answered_ts == dt.datetime(2024, 1, 4, 8, 30)
+
+
+def test_load_all_tables_from_csv_and_write_parquet(spark, tmp_path):
+    heads = {n: ",".join(f.name for f in SCHEMAS[n].fields) for n in TABLE_NAMES}
+    for n in TABLE_NAMES:
+        (tmp_path / f"{n}.csv").write_text(heads[n] + "\n")
+    (tmp_path / "order_items.csv").write_text(heads["order_items"] + "\no1,1,p1,s1,10.50,2.25\n")
+    tables = load_csv_tables(spark, str(tmp_path))
+    item = tables.order_items.collect()[0]
+    assert (item.price, item.freight_value, item.order_item_id) == (Decimal("10.50"), Decimal("2.25"), 1)
+    write_tables(tables, str(tmp_path / "pq"))
+    assert spark.read.parquet(str(tmp_path / "pq" / "order_items")).count() == 1
+
+
+def test_fixture_tables_have_expected_shape(fixture_tables):
+    t = fixture_tables
+    assert t.product_categories.count() == 24
+    assert t.orders.count() == t.customers.count()
+    assert t.order_items.filter("order_item_id = 1").count() == \
+        t.order_items.select("order_id").distinct().count()
