@@ -1 +1,142 @@
-"""Reports beyond the original SQL set (filled in after the core reports)."""
+"""Reports the original write-up states or recommends but never computes.
+
+* ``ext_overall_csat``: overall satisfaction and detractor share of reviews.
+* ``ext_monthly_detractor_volume``: detractors per month against the mean month.
+* ``ext_lift_table``: the headline lifts (late vs on time, 8+ days vs on time,
+  6+ installments vs single payment, problem vs standard sellers).
+* ``ext_seller_watchlist``: sellers at/above P90, above the probation rate,
+  or within a margin below P90.
+* ``ext_repeat_trigger_12m``: days on which a customer reaches 2+ detractor
+  reviews within the trailing 365 days. Reviews are first counted per
+  (customer, day), so the per-customer window sees at most one row per
+  calendar day however many reviews a hot customer has.
+* ``ext_delay_alerts``: orders at least 2 days past the estimate as of a
+  date (compensation at 4+), open orders included.
+* ``ext_installment_priority``: 6+ installment orders with delivery state.
+
+The streaming versions of the alerts live in ``cxlens.streaming``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cxlens.functions import ratio, round_half
+from cxlens.operators import quantile_threshold
+from cxlens.plans.common import c, detractor, n_rows, reviewed
+from cxlens.plans.order_view import order_columns, payment_totals
+from cxlens.plans.registry import report
+from cxlens.plans.sellers import seller_rates
+from cxlens.sources.tables import Tables
+
+PROBATION_RATE = 0.40
+WATCH_MARGIN = 0.05
+ALERT_DAYS = 2
+COMPENSATE_DAYS = 4
+REPEAT_WINDOW_DAYS = 365
+
+
+@report("ext_overall_csat")
+def ext_overall_csat(t: Tables) -> DataFrame:
+    s = c("review_score")
+    return t.reviews.filter(s.isNotNull()).agg(
+        n_rows("reviews"),
+        F.count_if(s >= 4).alias("promoters"), F.count_if(s <= 2).alias("detractors"),
+        round_half(ratio(F.count_if(s >= 4), F.count(F.lit(1))) * 100, 1).alias("csat_pct"),
+        round_half(ratio(F.count_if(s <= 2), F.count(F.lit(1))) * 100, 1).alias("detractor_pct"))
+
+
+@report("ext_monthly_detractor_volume", uses=["is_detractor", "order_month"])
+def ext_monthly_detractor_volume(v: DataFrame) -> DataFrame:
+    per_month = v.filter(detractor()).groupBy("order_month").agg(n_rows("detractor_reviews"))
+    mean = F.avg("detractor_reviews").over(Window.partitionBy())  # over months, not rows
+    return (per_month.withColumn("ratio_to_mean_month", round_half(ratio("detractor_reviews", mean), 2))
+            .orderBy("order_month"))
+
+
+@report("ext_lift_table", uses=["review_score", "is_late", "is_detractor", "delivery_bucket",
+                                "installment_bucket", "seller_id", "order_gmv"])
+def ext_lift_table(v: DataFrame, min_rows: int = 30, q: float = 0.9) -> DataFrame:
+    d = c("is_detractor")
+    rates = v.filter(reviewed()).agg(
+        F.avg(F.when(c("is_late") == 0, d)).alias("on_time"),
+        F.avg(F.when(c("is_late") == 1, d)).alias("late"),
+        F.avg(F.when(c("delivery_bucket") == "late_8_plus_days", d)).alias("late8"),
+        F.avg(F.when(c("installment_bucket") == "1_installment", d)).alias("single"),
+        F.avg(F.when(c("installment_bucket") == "6_plus_installments", d)).alias("six"))
+    stats = seller_rates(v, min_rows)
+    p = quantile_threshold(stats, "detractor_rate", q, "p90")
+    problem = c("detractor_rate") >= c("p90")
+    cohorts = stats.crossJoin(F.broadcast(p)).agg(
+        F.avg(F.when(problem, c("detractor_rate"))).alias("problem"),
+        F.avg(F.when(~problem, c("detractor_rate"))).alias("standard"))
+    return rates.crossJoin(cohorts).select(
+        round_half(ratio("late", "on_time"), 2).alias("late_vs_on_time"),
+        round_half(ratio("late8", "on_time"), 2).alias("late_8_plus_vs_on_time"),
+        round_half(ratio("six", "single"), 2).alias("six_plus_vs_single_installment"),
+        round_half(ratio("problem", "standard"), 2).alias("problem_vs_standard_seller"))
+
+
+@report("ext_seller_watchlist", uses=["review_score", "seller_id", "is_detractor", "order_gmv"])
+def ext_seller_watchlist(v: DataFrame, min_rows: int = 30, q: float = 0.9,
+                         probation: float = PROBATION_RATE, margin: float = WATCH_MARGIN) -> DataFrame:
+    stats = seller_rates(v, min_rows)
+    p = quantile_threshold(stats, "detractor_rate", q, "p90")
+    rate = c("detractor_rate")
+    status = (F.when(rate >= c("p90"), "problem_seller").when(rate > probation, "probation")
+              .when(rate >= c("p90") - margin, "watch"))
+    return (stats.crossJoin(F.broadcast(p)).withColumn("status", status)
+            .filter(c("status").isNotNull())
+            .select("seller_id", "reviewed_orders",
+                    round_half(rate * 100, 1).alias("detractor_rate_pct"),
+                    F.round("total_gmv", 0).cast("double").alias("total_gmv"), "status")
+            .orderBy(F.desc("detractor_rate_pct")))
+
+
+@report("ext_repeat_trigger_12m",
+        uses=["is_detractor", "customer_unique_id", "review_created_ts"])
+def ext_repeat_trigger_12m(v: DataFrame, window_days: int = REPEAT_WINDOW_DAYS,
+                           threshold: int = 2) -> DataFrame:
+    per_day = (v.filter(detractor() & c("review_created_ts").isNotNull())
+               .groupBy("customer_unique_id", F.to_date("review_created_ts").alias("alert_date"))
+               .agg(n_rows("n")))
+    trailing = (Window.partitionBy("customer_unique_id").orderBy(F.unix_date("alert_date"))
+                .rangeBetween(-(window_days - 1), 0))
+    return (per_day.withColumn("detractor_reviews_12m", F.sum("n").over(trailing))
+            .filter(c("detractor_reviews_12m") >= threshold)
+            .select("customer_unique_id", "alert_date", "detractor_reviews_12m")
+            .orderBy("alert_date", "customer_unique_id"))
+
+
+def delay_alerts(orders: DataFrame, as_of: DataFrame, alert_days: int = ALERT_DAYS,
+                 compensate_days: int = COMPENSATE_DAYS) -> DataFrame:
+    """Orders overdue by ``alert_days``+ as of the one-row ``as_of`` frame (column ``as_of``)."""
+    delivered, est = c("delivered_customer_ts"), c("estimated_delivery_ts")
+    overdue = F.datediff(F.coalesce(delivered, c("as_of")), est).cast("bigint")
+    live = ~c("order_status").isin("canceled", "unavailable")
+    return (orders.filter(est.isNotNull() & (delivered.isNotNull() | live))
+            .crossJoin(F.broadcast(as_of))
+            .filter(overdue >= alert_days)
+            .select("order_id", "estimated_delivery_ts", "delivered_customer_ts",
+                    overdue.alias("overdue_days"),
+                    F.when(overdue >= compensate_days, "compensate").otherwise("alert")
+                    .alias("alert_level"),
+                    delivered.isNull().cast("int").alias("is_open")))
+
+
+@report("ext_delay_alerts")
+def ext_delay_alerts(t: Tables) -> DataFrame:
+    # "Now" is the latest purchase in the data, so the report is reproducible.
+    as_of = t.orders.agg(F.max("purchase_ts").alias("as_of"))
+    return delay_alerts(t.orders, as_of)
+
+
+@report("ext_installment_priority")
+def ext_installment_priority(t: Tables, min_installments: int = 6) -> DataFrame:
+    cols = order_columns()
+    return (t.orders.join(payment_totals(t).filter(c("max_installments") >= min_installments),
+                          "order_id")
+            .select("order_id", "max_installments", "order_status",
+                    cols["delivery_bucket"].alias("delivery_bucket"),
+                    cols["is_late"].alias("is_late")))

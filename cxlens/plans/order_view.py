@@ -55,7 +55,8 @@ _GMV = {"order_gmv", "order_freight", "order_total", "item_count"}
 _PAYMENTS = {"max_installments", "total_paid", "installment_bucket"}
 
 
-def _derived():
+def order_columns() -> dict:
+    """Derived view columns as expressions over the joined order row."""
     c = F.col
     delivered, est, purchase = c("delivered_customer_ts"), c("estimated_delivery_ts"), c("purchase_ts")
     late_days = day_diff(est, delivered)
@@ -160,7 +161,7 @@ def order_analysis(t: Tables, columns: Sequence[str] | None = None) -> DataFrame
     if need & _PAYMENTS:
         v = v.join(payment_totals(t), "order_id", "left")
 
-    derived = _derived()
+    derived = order_columns()
     return v.select(*[derived[x].alias(x) if x in derived else F.col(x) for x in wanted])
 
 

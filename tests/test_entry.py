@@ -18,7 +18,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 44
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 51
 
 
 @pytest.fixture(scope="module")
