@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import pct, round_half, round_money
 from cxlens.operators import exact_quantile, fk_orphans, null_audit, row_counts, running_share, share_of_total
-from cxlens.plans.order_view import order_analysis
+from cxlens.plans.order_view import VIEW_COLUMNS
 from cxlens.plans.registry import report
 from cxlens.sources.tables import TABLE_NAMES, Tables
 
@@ -152,6 +152,6 @@ def dq_review_coverage(t: Tables) -> DataFrame:
             .orderBy(F.desc("orders")))
 
 
-@report("order_analysis")
-def order_analysis_report(t: Tables) -> DataFrame:
-    return order_analysis(t)
+@report("order_analysis", uses=VIEW_COLUMNS)
+def order_analysis_report(v: DataFrame) -> DataFrame:
+    return v.select(*VIEW_COLUMNS)

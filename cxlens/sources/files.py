@@ -10,6 +10,7 @@ pushdown, splittable files).
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +37,28 @@ def load_csv_tables(spark: SparkSession, data_dir: str, schemas=None,
 
 
 def write_tables(tables: Tables, path: str, mode: str = "overwrite",
-                 partition_by: dict | None = None) -> None:
-    """Create-or-replace every table as Parquet under ``path/<name>``."""
+                 partition_by: dict | None = None, concurrent_jobs: int = 1) -> None:
+    """Create-or-replace every table as Parquet under ``path/<name>``.
+
+    ``concurrent_jobs > 1`` submits the table writes as concurrent Spark jobs
+    (small dimension writes then share the cluster with the large ones).
+    """
     partition_by = partition_by or {}
-    for name, df in tables.items():
-        w = df.write.mode(mode)
+
+    def write(name: str) -> None:
+        w = tables[name].write.mode(mode)
         if name in partition_by:
             w = w.partitionBy(*partition_by[name])
         w.parquet(os.path.join(path, name))
 
+    if concurrent_jobs <= 1:
+        for name in tables:
+            write(name)
+        return
+    with ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
+        for f in [pool.submit(write, n) for n in tables]:
+            f.result()
+
 
 def read_parquet_tables(spark: SparkSession, path: str) -> Tables:
     return Tables({n: spark.read.parquet(os.path.join(path, n)) for n in TABLE_NAMES})
