@@ -57,3 +57,56 @@ def test_materialised_view_round_trips(loaded):
     tables, view = loaded
     from cxlens.plans import order_analysis
     assert view.count() == order_analysis(tables).count()
+
+
+AGGS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate")
+
+
+def _children(node):
+    kids = node.children()
+    return [kids.apply(i) for i in range(kids.size())]
+
+
+def _walk(node):
+    yield node
+    for k in _children(node):
+        yield from _walk(k)
+
+
+def _initial_plan(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def _aggregated_before_scan(node) -> bool:
+    """Every path from ``node`` down to a file scan passes an aggregate."""
+    name = node.nodeName()
+    if name.startswith(AGGS):
+        return True
+    if "Scan" in name:
+        return False
+    return all(_aggregated_before_scan(k) for k in _children(node))
+
+
+def _one_row(node) -> bool:
+    """A global aggregate (no grouping keys) under filters/projections/exchanges."""
+    name = node.nodeName()
+    if name.startswith(AGGS):
+        return node.groupingExpressions().isEmpty()
+    kids = _children(node)
+    return len(kids) == 1 and _one_row(kids[0])
+
+
+@pytest.mark.parametrize("name", sorted(all_reports()))
+def test_scale_rules_in_plan(loaded, name):
+    tables, view = loaded
+    rep = all_reports()[name]
+    plan = _initial_plan(rep.run(tables, view=None if rep.uses is None else view))
+    for node in _walk(plan):
+        n = node.nodeName()
+        assert "CartesianProduct" not in n
+        if n == "Exchange" and "SinglePartition" in node.outputPartitioning().toString():
+            assert _aggregated_before_scan(node), f"single-partition shuffle of raw rows in {name}"
+        if n == "BroadcastNestedLoopJoin":
+            build = _children(node)[1]
+            assert _one_row(build), f"nested-loop join without a one-row side in {name}"
