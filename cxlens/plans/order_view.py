@@ -178,3 +178,10 @@ def materialize_order_view(t: Tables, path: str, partition_by: Sequence[str] = (
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def register_views(t: Tables, view: DataFrame | None = None,
+                   view_name: str = "vw_order_analysis") -> None:
+    """Expose the nine tables and the order view to Spark SQL under their usual names."""
+    t.register()
+    (view if view is not None else order_analysis(t)).createOrReplaceTempView(view_name)

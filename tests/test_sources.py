@@ -37,3 +37,25 @@ def test_fixture_tables_have_expected_shape(fixture_tables):
     assert t.orders.count() == t.customers.count()
     assert t.order_items.filter("order_item_id = 1").count() == \
         t.order_items.select("order_id").distinct().count()
+
+
+def test_cli_load_view_report(spark, tmp_path):
+    from cxlens.__main__ import main
+    wh, out = str(tmp_path / "wh"), str(tmp_path / "out")
+    assert main(["load", "--fixture", "/root/testdata/sf0.001", "--warehouse", wh]) == 0
+    assert main(["view", "--warehouse", wh]) == 0
+    assert main(["report", "--warehouse", wh, "--out", out, "rc_distribution", "dq_row_counts"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "rc_distribution")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "out" / "dq_row_counts")).count() == 9
+
+
+def test_reference_style_sql_on_registered_views(spark, fixture_tables):
+    from cxlens.plans.order_view import register_views
+    from cxlens.plans import all_reports
+    register_views(fixture_tables)
+    got = spark.sql("""
+        SELECT root_cause, COUNT(*) AS detractor_reviews
+        FROM vw_order_analysis WHERE is_detractor = 1 GROUP BY root_cause""").collect()
+    want = all_reports()["rc_distribution"].run(fixture_tables).collect()
+    assert sorted((r[0], r[1]) for r in got) == sorted((r.root_cause, r.detractor_reviews) for r in want)
+    assert spark.sql("SELECT COUNT(*) FROM order_items").collect()[0][0] > 0
