@@ -47,3 +47,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, executor_cores_total: int,
+                 target_partition_bytes: int = 256 << 20, shuffle_fraction: float = 0.25,
+                 max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the bytes the jobs read.
+
+    The largest shuffle is the order-level join, which carries the pruned
+    columns only (``shuffle_fraction`` of the input). Shuffle partitions
+    start at that volume / 256 MB (at least 2x the cores, at most
+    ``max_partitions`` to bound map-status overhead), and AQE coalesces them
+    at runtime to the advisory size, so no partition outgrows executor memory.
+    Skewed partitions above 5x the median and 512 MB are split by AQE.
+    Auto-broadcast stays size-checked (64 MB, measured at runtime by AQE);
+    nothing that grows with the data is force-broadcast.
+    """
+    shuffle_bytes = int(input_bytes * shuffle_fraction)
+    partitions = min(max_partitions, max(2 * executor_cores_total,
+                                         -(-shuffle_bytes // target_partition_bytes)))
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    }
