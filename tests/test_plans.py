@@ -49,8 +49,14 @@ def test_lazy_view_report_reads_only_needed_tables(loaded):
 
 def test_sequence_uses_partial_top_k(loaded):
     tables, view = loaded
-    plan = _physical(all_reports()["rpt_root_cause_sequence"].run(tables, view))
-    assert "WindowGroupLimit" in plan
+    plan = _initial_plan(all_reports()["rpt_root_cause_sequence"].run(tables, view))
+    # A partial limit below the shuffle on customer, and the final one above it.
+    limits = [n for n in _walk(plan) if n.nodeName() == "WindowGroupLimit"]
+    assert len(limits) == 2
+    partial_below_exchange = any(
+        k.nodeName() == "Exchange" and any(x.nodeName() == "WindowGroupLimit" for x in _walk(k))
+        for k in _walk(plan))
+    assert partial_below_exchange
 
 
 def test_materialised_view_round_trips(loaded):
