@@ -108,16 +108,20 @@ _DERIVED_INPUTS = {
 
 
 def primary_items(t: Tables, with_category: bool = True) -> DataFrame:
-    """First item of each order with its product and category (one row per order)."""
+    """First item of each order with its product and category (one row per order).
+
+    The category is joined onto the products first (dimension to dimension),
+    so the per-order rows are shuffled by product only, never by category,
+    however concentrated the categories are.
+    """
     first = (t.order_items.filter(F.col("order_item_id") == 1)
              .select("order_id", "seller_id", "product_id",
                      F.col("price").alias("item_price"), "freight_value"))
-    out = first.join(t.products.select("product_id", "category_id", "weight_grams"),
-                     "product_id", "left")
+    products = t.products.select("product_id", "category_id", "weight_grams")
     if with_category:
-        out = out.join(t.product_categories.select("category_id", "category_name"),
-                       "category_id", "left")
-    return out
+        products = products.join(t.product_categories.select("category_id", "category_name"),
+                                 "category_id", "left")
+    return first.join(products, "product_id", "left")
 
 
 def order_totals(t: Tables) -> DataFrame:
