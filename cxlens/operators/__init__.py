@@ -2,10 +2,11 @@
 
 from cxlens.operators.audit import fk_orphans, null_audit, row_counts
 from cxlens.operators.quantiles import exact_quantile
-from cxlens.operators.cohorts import flag_against, quantile_threshold, relative_hotspots
+from cxlens.operators.cohorts import (flag_against, quantile_threshold, relative_hotspots,
+                                      with_quantile)
 from cxlens.operators.sequences import first_event_then_next, event_sequence
 from cxlens.operators.shares import running_share, share_of_total
 
 __all__ = ["event_sequence", "exact_quantile", "first_event_then_next", "fk_orphans", "flag_against",
            "null_audit", "quantile_threshold", "relative_hotspots", "row_counts",
-           "running_share", "share_of_total"]
+           "running_share", "share_of_total", "with_quantile"]

@@ -9,7 +9,7 @@ frames, broadcast by construction (size bound: 1 row).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,17 @@ def relative_hotspots(stats: DataFrame, rate: str, baseline: DataFrame, baseline
     """Flag entities whose rate is at least ``factor`` times the baseline rate."""
     return flag_against(stats, baseline, F.col(rate) >= F.col(baseline_col) * factor, out,
                         "hotspot", "standard")
+
+
+def with_quantile(rows: DataFrame, metric: str | Column, q: float, out: str,
+                  approx: bool = False, accuracy: int = 100_000) -> DataFrame:
+    """Attach the ``q`` quantile of ``metric`` over all rows (NULL metrics ignored).
+
+    A window over entity-level rows (one per seller, or per seller and key),
+    so the threshold and the rows it flags stay in one plan branch and the
+    source is scanned once.
+    """
+    m = F.col(metric) if isinstance(metric, str) else metric
+    agg = (F.percentile_approx(m, F.lit(q), F.lit(accuracy)).cast("double") if approx
+           else F.percentile(m, F.lit(q)))
+    return rows.withColumn(out, agg.over(Window.partitionBy()))

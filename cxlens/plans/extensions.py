@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import ratio, round_half
-from cxlens.operators import quantile_threshold
+from cxlens.operators import quantile_threshold, with_quantile
 from cxlens.plans.common import c, detractor, n_rows, reviewed
 from cxlens.plans.order_view import order_columns, payment_totals
 from cxlens.plans.registry import report
@@ -81,12 +81,11 @@ def ext_lift_table(v: DataFrame, min_rows: int = 30, q: float = 0.9) -> DataFram
 @report("ext_seller_watchlist", uses=["review_score", "seller_id", "is_detractor", "order_gmv"])
 def ext_seller_watchlist(v: DataFrame, min_rows: int = 30, q: float = 0.9,
                          probation: float = PROBATION_RATE, margin: float = WATCH_MARGIN) -> DataFrame:
-    stats = seller_rates(v, min_rows)
-    p = quantile_threshold(stats, "detractor_rate", q, "p90")
+    stats = with_quantile(seller_rates(v, min_rows), "detractor_rate", q, "p90")
     rate = c("detractor_rate")
     status = (F.when(rate >= c("p90"), "problem_seller").when(rate > probation, "probation")
               .when(rate >= c("p90") - margin, "watch"))
-    return (stats.crossJoin(F.broadcast(p)).withColumn("status", status)
+    return (stats.withColumn("status", status)
             .filter(c("status").isNotNull())
             .select("seller_id", "reviewed_orders",
                     round_half(rate * 100, 1).alias("detractor_rate_pct"),

@@ -1,61 +1,83 @@
 """Where logistics fail: states at or above twice the national late rate.
 
-National rate and hotspot list are small frames (one row; one row per
-state). Breakdowns aggregate view rows to (state, key) first and join the
-state list afterwards, so no raw row is joined.
+Each report scans the view once into a small roll-up ((month, state), or
+(state, root cause, lateness)); state totals are windows partitioned by
+state over the roll-up (a few rows per state), and the national rate is a
+window over the per-state rows, computed before the minimum-rows filter so
+it covers every state. One scan, no join, whatever the state skew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import pct, ratio, round_half, round_money
-from cxlens.operators import relative_hotspots, share_of_total
-from cxlens.plans.common import (delivered, detractor, reviewed, avg2, c, detractor_gmv,
-                                 money0, n_rows, pct_of, sum_long)
+from cxlens.operators import share_of_total
+from cxlens.plans.common import c, delivered, detractor, n_rows, reviewed, sum_long
 from cxlens.plans.registry import report
 
 MIN_ROWS = 100
 FACTOR = 2.0
 
-_USES = ["review_score", "is_late", "customer_state", "is_detractor", "order_gmv"]
+_USES = ["review_score", "is_late", "customer_state", "is_detractor", "order_gmv", "order_month"]
 
 
-def national_rate(v: DataFrame) -> DataFrame:
-    return v.filter(reviewed() & delivered()).agg(F.avg("is_late").alias("national_late_rate"))
+def state_month_rollup(v: DataFrame) -> DataFrame:
+    """Reviewed and delivered rows summed per (month, state): the one scan of the view.
 
+    Every state-level, national and monthly figure below is an exact
+    re-aggregation of these sums (integer counts, decimal money).
+    """
+    return (v.filter(reviewed() & delivered()).groupBy("order_month", "customer_state").agg(
+        n_rows("n"), F.sum("is_late").alias("late"), F.sum("is_detractor").alias("det"),
+        F.sum("review_score").alias("score"), F.sum("order_gmv").alias("gmv"),
+        F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))).alias("det_gmv")))
 
-def state_rates(v: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    return (v.filter(reviewed() & delivered()).groupBy("customer_state").agg(
-        n_rows("reviewed_orders"), F.avg("is_late").alias("late_rate"),
-        F.avg("is_detractor").alias("detractor_rate"), F.sum("order_gmv").alias("total_gmv"),
-        F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))).alias("detractor_gmv"))
-        .filter(c("reviewed_orders") >= min_rows))
 
+def _national(late: str, n: str):
+    # Over already-aggregated rows only (one per state or per state and key).
+    everything = Window.partitionBy()
+    return ratio(F.sum(late).over(everything), F.sum(n).over(everything))
 
-def hotspot_states(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
-    flagged = relative_hotspots(state_rates(v, min_rows), "late_rate", national_rate(v),
-                                "national_late_rate", factor)
-    return flagged.filter(c("region_flag") == "hotspot").select("customer_state")
+
+def _is_hotspot(n, late, national, min_rows: int, factor: float):
+    # A NULL state never matches a state list, so it is never a hotspot.
+    return (c("customer_state").isNotNull() & (n >= min_rows)
+            & (ratio(late, n) >= national * factor))
+
+
+def state_rates(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
+    """One row per state with >= min_rows rows: rates, money, national rate and flag."""
+    states = (state_month_rollup(v).groupBy("customer_state").agg(
+        F.sum("n").alias("reviewed_orders"), F.sum("late").alias("late"),
+        F.sum("det").alias("det"), F.sum("score").alias("score"),
+        F.sum("gmv").alias("total_gmv"), F.sum("det_gmv").alias("detractor_gmv"))
+        .withColumn("national_late_rate", _national("late", "reviewed_orders")))
+    return (states.filter(c("reviewed_orders") >= min_rows)
+            .withColumn("late_rate", ratio("late", "reviewed_orders"))
+            .withColumn("detractor_rate", ratio("det", "reviewed_orders"))
+            .withColumn("avg_score", ratio("score", "reviewed_orders"))
+            .withColumn("region_flag", F.when(c("late_rate") >= c("national_late_rate") * factor,
+                                              "hotspot").otherwise("standard")))
 
 
 @report("region_scorecard", uses=_USES)
 def region_scorecard(v: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    return (v.filter(reviewed() & delivered()).groupBy("customer_state").agg(
-        n_rows("reviewed_orders"), pct_of("is_late", "late_rate_pct"),
-        pct_of("is_detractor", "detractor_rate_pct"), avg2("review_score", "avg_review_score"),
-        detractor_gmv("detractor_gmv"), money0(c("order_gmv"), "total_gmv"),
-        round_half(pct(F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))),
-                       F.sum("order_gmv")), 1).alias("detractor_gmv_pct"))
-        .filter(c("reviewed_orders") >= min_rows).orderBy(F.desc("late_rate_pct")))
+    return (state_rates(v, min_rows).select(
+        "customer_state", "reviewed_orders",
+        round_half(c("late_rate") * 100, 1).alias("late_rate_pct"),
+        round_half(c("detractor_rate") * 100, 1).alias("detractor_rate_pct"),
+        round_half(c("avg_score"), 2).alias("avg_review_score"),
+        round_money(c("detractor_gmv"), 0).alias("detractor_gmv"),
+        round_money(c("total_gmv"), 0).alias("total_gmv"),
+        round_half(pct("detractor_gmv", "total_gmv"), 1).alias("detractor_gmv_pct"))
+        .orderBy(F.desc("late_rate_pct")))
 
 
 @report("region_vs_national", uses=_USES)
 def region_vs_national(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
-    flagged = relative_hotspots(state_rates(v, min_rows), "late_rate", national_rate(v),
-                                "national_late_rate", factor)
-    return (flagged.select(
+    return (state_rates(v, min_rows, factor).select(
         "customer_state", "reviewed_orders",
         round_half(c("late_rate") * 100, 1).alias("late_rate_pct"),
         round_half(c("national_late_rate") * 100, 1).alias("national_late_rate_pct"),
@@ -68,9 +90,7 @@ def region_vs_national(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = F
 @report("region_hotspot_summary", uses=_USES)
 def region_hotspot_summary(v: DataFrame, min_rows: int = MIN_ROWS,
                            factor: float = FACTOR) -> DataFrame:
-    flagged = relative_hotspots(state_rates(v, min_rows), "late_rate", national_rate(v),
-                                "national_late_rate", factor)
-    return (flagged.groupBy("region_flag").agg(
+    return (state_rates(v, min_rows, factor).groupBy("region_flag").agg(
         n_rows("state_count"), sum_long("reviewed_orders", "total_orders"),
         round_half(F.avg("late_rate") * 100, 1).alias("avg_late_rate_pct"),
         round_half(F.avg("detractor_rate") * 100, 1).alias("avg_detractor_rate_pct"),
@@ -84,22 +104,33 @@ def region_hotspot_summary(v: DataFrame, min_rows: int = MIN_ROWS,
 @report("region_hotspot_root_causes", uses=_USES + ["root_cause"])
 def region_hotspot_root_causes(v: DataFrame, min_rows: int = MIN_ROWS,
                                factor: float = FACTOR) -> DataFrame:
-    per_key = v.filter(detractor()).groupBy("customer_state", "root_cause").agg(n_rows("n"))
-    hits = per_key.join(hotspot_states(v, min_rows, factor), "customer_state", "left_semi")
-    out = hits.groupBy("root_cause").agg(sum_long("n", "detractor_reviews"))
+    # One scan: reviewed rows per (state, root cause, lateness). Delivered rows
+    # give the hotspot test, detractor rows (root cause not NULL) the counts.
+    rollup = (v.filter(reviewed()).groupBy("customer_state", "root_cause", "is_late").agg(
+        n_rows("n"), F.sum("is_late").alias("late")))
+    dn = F.when(c("is_late").isNotNull(), c("n"))
+    per_state = Window.partitionBy("customer_state")
+    flagged = (rollup
+               .withColumn("st_n", F.sum(dn).over(per_state))
+               .withColumn("st_late", F.sum("late").over(per_state))
+               .withColumn("nat", _national("late", dn)))
+    hot = _is_hotspot(c("st_n"), c("st_late"), c("nat"), min_rows, factor)
+    out = (flagged.filter(hot & c("root_cause").isNotNull())
+           .groupBy("root_cause").agg(sum_long("n", "detractor_reviews")))
     return share_of_total(out, "detractor_reviews", "pct_of_hotspot_detractors").orderBy(
         F.desc("detractor_reviews"))
 
 
-@report("region_monthly_trend", uses=_USES + ["order_month"])
+@report("region_monthly_trend", uses=_USES)
 def region_monthly_trend(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
-    per_key = (v.filter(reviewed() & delivered()).groupBy("order_month", "customer_state").agg(
-        n_rows("n"), F.sum("is_late").alias("late"), F.sum("is_detractor").alias("det")))
-    hs = hotspot_states(v, min_rows, factor).withColumn("_hot", F.lit(True))
-    typed = (per_key.join(hs, "customer_state", "left")
-             .withColumn("region_type",
-                         F.when(c("_hot").isNotNull(), "hotspot").otherwise("standard")))
-    return (typed.groupBy("order_month", "region_type").agg(
+    per_state = Window.partitionBy("customer_state")  # rows per state = months
+    rollup = (state_month_rollup(v)
+              .withColumn("st_n", F.sum("n").over(per_state))
+              .withColumn("st_late", F.sum("late").over(per_state))
+              .withColumn("nat", _national("late", "n")))
+    region_type = F.when(_is_hotspot(c("st_n"), c("st_late"), c("nat"), min_rows, factor),
+                         "hotspot").otherwise("standard")
+    return (rollup.groupBy("order_month", region_type.alias("region_type")).agg(
         sum_long("n", "orders"),
         round_half(ratio(F.sum("late"), F.sum("n")) * 100, 1).alias("late_rate_pct"),
         round_half(ratio(F.sum("det"), F.sum("n")) * 100, 1).alias("detractor_rate_pct"))

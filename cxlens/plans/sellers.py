@@ -2,19 +2,20 @@
 
 Per-seller statistics are one partially aggregated group-by (a seller with
 a third of all rows is pre-reduced on every map task). The P90 threshold is
-a one-row frame over seller rows. Category and root-cause breakdowns first
-aggregate view rows to (seller, key) and only then semi-join the problem
-seller list, so the join sees one row per seller and key, never raw rows.
+a window over the seller rows, so threshold and flags come from one scan.
+Category and root-cause breakdowns aggregate view rows to (seller, key)
+first; seller totals and the cohort test are windows over that roll-up,
+never over raw rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import ratio, round_half, round_money
-from cxlens.operators import flag_against, quantile_threshold, share_of_total
-from cxlens.plans.common import (detractor, reviewed, avg2, c, money0, n_rows, pct_of, sum_long)
+from cxlens.operators import share_of_total, with_quantile
+from cxlens.plans.common import avg2, c, money0, n_rows, pct_of, reviewed, sum_long
 from cxlens.plans.registry import report
 
 MIN_REVIEWED = 30
@@ -31,12 +32,26 @@ def seller_rates(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
         .filter(c("reviewed_orders") >= min_rows))
 
 
-def problem_sellers(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANTILE,
-                    approx: bool = False) -> DataFrame:
-    stats = seller_rates(v, min_rows)
-    p = quantile_threshold(stats, "detractor_rate", q, "p90_threshold", approx)
-    return (stats.crossJoin(F.broadcast(p))
-            .filter(c("detractor_rate") >= c("p90_threshold")).select("seller_id"))
+def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE,
+                 approx: bool = False) -> DataFrame:
+    """Reviewed rows summed per (seller, key), kept for sellers in the P90 cohort.
+
+    One scan: seller totals are windows partitioned by seller over the
+    roll-up (at most one row per key value per seller), and P90 runs over
+    one representative row per qualifying seller. A NULL seller takes part
+    in the P90 but never matches a seller list, so its rows are dropped.
+    """
+    rollup = (v.filter(reviewed()).groupBy("seller_id", key).agg(
+        n_rows("n"), F.sum("is_detractor").alias("det"), F.sum("order_gmv").alias("gmv")))
+    per_seller = Window.partitionBy("seller_id")
+    first = Window.partitionBy("seller_id").orderBy(F.col(key).asc_nulls_first())
+    rows = (rollup
+            .withColumn("seller_n", F.sum("n").over(per_seller))
+            .withColumn("seller_rate", ratio(F.sum("det").over(per_seller), c("seller_n")))
+            .withColumn("_rep", F.row_number().over(first) == 1))
+    eligible = c("seller_n") >= min_rows
+    rows = with_quantile(rows, F.when(c("_rep") & eligible, c("seller_rate")), q, "p90", approx)
+    return rows.filter(eligible & (c("seller_rate") >= c("p90")) & c("seller_id").isNotNull())
 
 
 @report("seller_overview", uses=["review_score", "seller_id", "is_detractor", "is_promoter",
@@ -59,19 +74,18 @@ def seller_flagged(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANTI
         money0(c("is_detractor") * c("order_gmv"), "detractor_gmv"),
         pct_of("is_late", "late_rate_pct"))
         .filter(c("reviewed_orders") >= min_rows))
-    p = quantile_threshold(stats, "detractor_rate_pct", q, "p90_threshold")
-    return (flag_against(stats, p, c("detractor_rate_pct") >= c("p90_threshold"), "cohort_flag",
-                         "problem_seller", "standard")
-            .drop("p90_threshold").orderBy(F.desc("detractor_rate_pct")))
+    flagged = with_quantile(stats, "detractor_rate_pct", q, "p90").withColumn(
+        "cohort_flag", F.when(c("detractor_rate_pct") >= c("p90"), "problem_seller")
+        .otherwise("standard"))
+    return flagged.drop("p90").orderBy(F.desc("detractor_rate_pct"))
 
 
 @report("seller_cohort_summary", uses=["review_score", "seller_id", "is_detractor", "order_gmv"])
 def seller_cohort_summary(v: DataFrame, min_rows: int = MIN_REVIEWED,
                           q: float = QUANTILE) -> DataFrame:
-    stats = seller_rates(v, min_rows)
-    p = quantile_threshold(stats, "detractor_rate", q, "p90_threshold")
-    flagged = flag_against(stats, p, c("detractor_rate") >= c("p90_threshold"), "cohort_flag",
-                           "problem_seller", "standard")
+    flagged = with_quantile(seller_rates(v, min_rows), "detractor_rate", q, "p90").withColumn(
+        "cohort_flag", F.when(c("detractor_rate") >= c("p90"), "problem_seller")
+        .otherwise("standard"))
     return (flagged.groupBy("cohort_flag").agg(
         n_rows("seller_count"), sum_long("reviewed_orders", "total_orders"),
         round_half(F.avg("detractor_rate") * 100, 1).alias("avg_detractor_rate_pct"),
@@ -86,9 +100,7 @@ def seller_cohort_summary(v: DataFrame, min_rows: int = MIN_REVIEWED,
         uses=["review_score", "seller_id", "category_name", "is_detractor", "order_gmv"])
 def seller_problem_categories(v: DataFrame, min_rows: int = MIN_REVIEWED,
                               q: float = QUANTILE) -> DataFrame:
-    per_key = (v.filter(reviewed()).groupBy("seller_id", "category_name").agg(
-        n_rows("n"), F.sum("is_detractor").alias("det"), F.sum("order_gmv").alias("gmv")))
-    hits = per_key.join(problem_sellers(v, min_rows, q), "seller_id", "left_semi")
+    hits = problem_rows(v, "category_name", min_rows, q)
     return (hits.groupBy("category_name").agg(
         F.count("seller_id").alias("problem_sellers"), sum_long("n", "orders"),
         round_half(ratio(F.sum("det"), F.sum("n")) * 100, 1).alias("detractor_rate_pct"),
@@ -100,8 +112,8 @@ def seller_problem_categories(v: DataFrame, min_rows: int = MIN_REVIEWED,
         uses=["review_score", "seller_id", "is_detractor", "order_gmv", "root_cause"])
 def seller_problem_root_causes(v: DataFrame, min_rows: int = MIN_REVIEWED,
                                q: float = QUANTILE) -> DataFrame:
-    per_key = v.filter(detractor()).groupBy("seller_id", "root_cause").agg(n_rows("n"))
-    hits = per_key.join(problem_sellers(v, min_rows, q), "seller_id", "left_semi")
-    out = hits.groupBy("root_cause").agg(sum_long("n", "detractor_reviews"))
+    # root_cause is set exactly on detractor rows, whose count is ``det``.
+    hits = problem_rows(v, "root_cause", min_rows, q).filter(c("root_cause").isNotNull())
+    out = hits.groupBy("root_cause").agg(sum_long("det", "detractor_reviews"))
     return share_of_total(out, "detractor_reviews", "pct_of_complaints").orderBy(
         F.desc("detractor_reviews"))
