@@ -38,14 +38,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to a shared file system path. Only
-    when it is unset (local tests) a private scratch folder is created.
+    On a cluster this must already be set to a shared file system path (or be
+    set on the context). Only when neither is set (local tests) a private
+    scratch folder is created.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no classic context (e.g. a remote session)
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="cxlens-ckpt-")
+    try:
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # not settable at runtime in this deployment
+        pass
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:
+        pass
     return path
 
 

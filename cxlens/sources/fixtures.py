@@ -187,8 +187,11 @@ SOURCE_TABLES = ("orders", "customer", "nation", "lineitem", "part", "supplier")
 
 
 def _fingerprint(sf_dir: str) -> str:
+    """Key of a derived copy: the source files and the derivation rules (this module)."""
     import hashlib
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    with open(__file__, "rb") as f:
+        h.update(f.read())
     for name in SOURCE_TABLES:
         p = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(p):
