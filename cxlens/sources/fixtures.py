@@ -6,6 +6,10 @@ modulo rules keyed on the order key ``k`` (see FIXTURES.md, part B). Every
 rule is a column expression, so the derivation is one lazy plan that Spark
 prunes and pushes down like any other read; nothing is collected.
 
+The modulo expressions decide attributes of whole tables (which orders carry
+a review, a second payment or a NULL timestamp, which status an order has);
+every input row is used and nothing is sampled, capped or subset.
+
 ``M(a, p, m)`` below means ``((k * a) % p) % m``.
 """
 
