@@ -71,3 +71,15 @@ def test_event_sequence_first_k_with_tiebreak(spark):
     out = event_sequence(df, "u", ["t", "tag"], 3, "seq").collect()
     assert sorted((r.u, r.seq, r.tag) for r in out) == [
         ("u1", 1, "a"), ("u1", 2, "b"), ("u1", 3, "c"), ("u2", 1, "z")]
+
+
+def test_quantile_threshold_and_hotspots(spark):
+    from cxlens.operators import quantile_threshold, relative_hotspots, with_quantile
+    stats = spark.createDataFrame([(f"s{i}", i / 10.0) for i in range(11)], "k string, rate double")
+    p = quantile_threshold(stats, "rate", 0.9, "p").collect()[0].p
+    assert p == pytest.approx(0.9)
+    assert {r.p for r in with_quantile(stats, "rate", 0.9, "p").collect()} == {p}
+    base = spark.createDataFrame([(0.2,)], "nat double")
+    flags = {r.k: r.region_flag for r in relative_hotspots(stats, "rate", base, "nat").collect()}
+    assert flags["s4"] == "hotspot" and flags["s3"] == "standard"
+    assert quantile_threshold(stats, "rate", 0.5, "p", approx=True).collect()[0].p == 0.5
