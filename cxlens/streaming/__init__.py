@@ -1,7 +1,8 @@
 """Structured Streaming versions of the alerting rules."""
 
 from cxlens.streaming.alerts import (delay_alert_stream, detractor_events,
-                                     installment_priority_stream, repeat_trigger_stream)
+                                     installment_priority_stream, repeat_trigger_stream,
+                                     start_parquet_sink)
 
 __all__ = ["delay_alert_stream", "detractor_events", "installment_priority_stream",
-           "repeat_trigger_stream"]
+           "repeat_trigger_stream", "start_parquet_sink"]

@@ -103,3 +103,19 @@ def repeat_trigger_stream(events: DataFrame, window_days: int = REPEAT_WINDOW_DA
                                       state_schema, "append", GroupStateTimeout.EventTimeTimeout))
     return alerts.select("customer_unique_id", F.date_from_unix_date("day").alias("alert_date"),
                          "detractor_reviews_12m")
+
+
+def start_parquet_sink(alerts: DataFrame, path: str, name: str,
+                       trigger_seconds: int | None = None):
+    """Append an alert stream to Parquet (exactly-once file sink).
+
+    The checkpoint lives under ``spark.checkpoint.dir`` (a shared folder on a
+    cluster), so a restarted query resumes where it stopped.
+    """
+    from cxlens.session import ensure_checkpoint_dir
+    ckpt = f"{ensure_checkpoint_dir(alerts.sparkSession).rstrip('/')}/streams/{name}"
+    w = (alerts.writeStream.format("parquet").outputMode("append").queryName(name)
+         .option("path", path).option("checkpointLocation", ckpt))
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cxlens.plans import all_reports
 from cxlens.plans.order_view import payment_totals
 from cxlens.streaming import (delay_alert_stream, detractor_events, installment_priority_stream,
-                              repeat_trigger_stream)
+                              repeat_trigger_stream, start_parquet_sink)
 
 R = all_reports()
 
@@ -69,3 +69,17 @@ def test_repeat_trigger_stream_equals_batch(spark, fixture_tables):
                                                                         "customer_unique_id")
     stream = repeat_trigger_stream(detractor_events(reviews, order_customers))
     _same(_run(stream, root, "repeat_out"), R["ext_repeat_trigger_12m"].run(t))
+
+
+def test_delay_alerts_parquet_sink(spark, fixture_tables):
+    t = fixture_tables
+    root = _scratch(spark)
+    as_of = t.orders.agg(F.max("purchase_ts").alias("as_of"))
+    stream = delay_alert_stream(_replay(spark, t.orders, "purchase_ts", root), as_of)
+    out = os.path.join(root, "alerts")
+    q = start_parquet_sink(stream, out, f"delay_sink_{os.path.basename(root).replace('-', '_')}")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    _same(spark.read.parquet(out), R["ext_delay_alerts"].run(t))
