@@ -65,9 +65,16 @@ def test_return_after_complaint_needs_strictly_later_reviewed_order(spark):
 
 def test_invariants_on_fixture(fixture_tables):
     t = fixture_tables
+    from pyspark.sql import functions as F
+
+    from cxlens.plans import order_analysis
+    view = order_analysis(t, ["review_score", "is_detractor", "root_cause"])
+    reviewed_rows = view.filter(F.col("review_score").isNotNull()).count()
     buckets = R["late_detractor_by_bucket"].run(t).collect()
-    reviewed = R["dq_null_reviews"].run(t).collect()[0]
-    assert sum(r.orders for r in buckets) >= reviewed.total_reviews - reviewed.null_score - 1000
+    assert sum(r.orders for r in buckets) == reviewed_rows
+    assert sum(r.orders for r in R["inst_by_bucket"].run(t).collect()) == reviewed_rows
+    # root_cause is set exactly on detractor rows.
+    assert view.filter((F.col("root_cause").isNull()) == (F.col("is_detractor") == 1)).count() == 0
     rc = R["rc_distribution"].run(t).collect()
     assert abs(sum(r.pct_of_detractors for r in rc) - 100) < 0.5
     assert None not in {r.root_cause for r in rc}
