@@ -22,7 +22,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
 
     from cxlens.plans import all_reports
-    from cxlens.plans.order_view import materialize_order_view
+    from cxlens.plans.order_view import materialize_order_view, read_order_view
     from cxlens.session import local_session
     from cxlens.sources import derive_marketplace, read_parquet_tables, write_tables
 
@@ -39,7 +39,7 @@ def main() -> None:
     t0 = time.perf_counter()
     materialize_order_view(tables, view_dir)
     view_sec = time.perf_counter() - t0
-    view = spark.read.parquet(view_dir)
+    view = read_order_view(spark, view_dir)
 
     reports = all_reports()
     times: dict[str, float] = {}

@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
 
     from cxlens.plans import all_reports
-    from cxlens.plans.order_view import materialize_order_view
+    from cxlens.plans.order_view import materialize_order_view, read_order_view
     from cxlens.sources import (derive_marketplace, load_csv_tables, read_parquet_tables,
                                 write_tables)
 
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     if unknown:
         print(f"unknown reports: {unknown}", file=sys.stderr)
         return 2
-    view_df = spark.read.parquet(view_dir) if os.path.exists(view_dir) else None
+    view_df = read_order_view(spark, view_dir) if os.path.exists(view_dir) else None
     for name in args.names or sorted(reports):
         df = reports[name].run(t, view_df)
         if args.out:

@@ -189,3 +189,16 @@ def register_views(t: Tables, view: DataFrame | None = None,
     """Expose the nine tables and the order view to Spark SQL under their usual names."""
     t.register()
     (view if view is not None else order_analysis(t)).createOrReplaceTempView(view_name)
+
+
+def read_order_view(spark, path: str) -> DataFrame:
+    """Read a materialised view back with the view's column order and types.
+
+    A month-partitioned copy carries ``order_month`` as a folder value, which
+    Spark infers as a zoned timestamp; it is cast back to ``timestamp_ntz``.
+    """
+    df = spark.read.parquet(path)
+    cols = [F.col(c).cast("timestamp_ntz").alias(c)
+            if c == "order_month" and dict(df.dtypes)[c] != "timestamp_ntz" else F.col(c)
+            for c in VIEW_COLUMNS]
+    return df.select(*cols)

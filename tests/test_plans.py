@@ -116,3 +116,14 @@ def test_scale_rules_in_plan(loaded, name):
         if n == "BroadcastNestedLoopJoin":
             build = _children(node)[1]
             assert _one_row(build), f"nested-loop join without a one-row side in {name}"
+
+
+def test_month_partitioned_view_round_trips(spark, loaded, tmp_path):
+    from cxlens.plans import order_analysis
+    from cxlens.plans.order_view import read_order_view
+    tables, _ = loaded
+    materialize_order_view(tables, str(tmp_path / "by_month"), partition_by=("order_month",))
+    back = read_order_view(spark, str(tmp_path / "by_month"))
+    lazy = order_analysis(tables)
+    assert back.dtypes == lazy.dtypes
+    assert back.exceptAll(lazy).count() == 0 and lazy.exceptAll(back).count() == 0
