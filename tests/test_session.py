@@ -1,0 +1,18 @@
+from cxlens.session import RECOMMENDED_CONF, cluster_conf, ensure_checkpoint_dir
+
+
+def test_cluster_conf_sizes_partitions_from_volume():
+    big = cluster_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000          # capped
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert big["spark.ui.enabled"] == "false"
+    small = cluster_conf(1 << 30, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128            # 2x cores floor
+    mid = cluster_conf(1 << 40, 1000)
+    assert int(mid["spark.sql.shuffle.partitions"]) == (1 << 40) // 4 // (256 << 20)
+    assert set(RECOMMENDED_CONF) <= set(big)
+
+
+def test_checkpoint_dir_is_stable(spark):
+    assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+    assert spark.conf.get("spark.checkpoint.dir")
