@@ -8,7 +8,7 @@ def test_cluster_conf_sizes_partitions_from_volume():
     assert big["spark.ui.enabled"] == "false"
     small = cluster_conf(1 << 30, 64)
     assert int(small["spark.sql.shuffle.partitions"]) == 128            # 2x cores floor
-    mid = cluster_conf(1 << 40, 1000)
+    mid = cluster_conf(1 << 40, 100)
     assert int(mid["spark.sql.shuffle.partitions"]) == (1 << 40) // 4 // (256 << 20)
     assert set(RECOMMENDED_CONF) <= set(big)
 
