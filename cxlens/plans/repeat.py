@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import day_diff, flag, pct, round_half, round_money, tier
 from cxlens.operators import event_sequence, first_event_then_next, share_of_total
-from cxlens.plans.common import detractor, reviewed, c, n_rows, sum_long
+from cxlens.plans.common import c, detractor, mean_money, n_rows, reviewed, sum_long
 from cxlens.plans.registry import report
 
 _USES = ["review_score", "customer_unique_id", "is_detractor", "is_promoter", "order_gmv",
@@ -28,14 +28,10 @@ def customer_complaints(v: DataFrame) -> DataFrame:
         F.min("purchase_ts").alias("first_order"), F.max("purchase_ts").alias("last_order"))
 
 
-def _avg_money(col: str, digits: int, name: str):
-    return round_half(F.sum(col).cast("double") / F.count(col), digits).alias(name)
-
-
 @report("rpt_frequency", uses=_USES)
 def rpt_frequency(v: DataFrame) -> DataFrame:
     out = customer_complaints(v).groupBy("complaint_count").agg(
-        n_rows("customers"), _avg_money("lifetime_gmv", 2, "avg_lifetime_gmv"),
+        n_rows("customers"), mean_money(c("lifetime_gmv"), 2, "avg_lifetime_gmv"),
         round_money(F.sum("lifetime_gmv"), 0).alias("total_gmv"))
     return (share_of_total(out, "customers", "pct_of_customers")
             .select("complaint_count", "customers", "pct_of_customers", "avg_lifetime_gmv",
@@ -55,7 +51,7 @@ def rpt_profile(v: DataFrame) -> DataFrame:
     return (cc.groupBy("complaint_tier").agg(
         n_rows("customers"),
         round_half(F.avg("total_orders"), 2).alias("avg_orders_per_customer"),
-        _avg_money("lifetime_gmv", 2, "avg_lifetime_gmv"),
+        mean_money(c("lifetime_gmv"), 2, "avg_lifetime_gmv"),
         round_money(F.sum("lifetime_gmv"), 0).alias("total_gmv"),
         round_half(F.avg(day_diff("first_order", "last_order")), 0).alias("avg_days_as_customer"))
         .orderBy("complaint_tier"))
