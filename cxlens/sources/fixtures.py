@@ -221,5 +221,9 @@ def load_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     try:
         return read_parquet_tables(spark, target)
     except AnalysisException:
+        pass
+    try:
         write_tables(derive_marketplace(spark, sf_dir), target, concurrent_jobs=4)
         return read_parquet_tables(spark, target)
+    except Exception:  # no writable shared folder: fall back to the lazy derivation
+        return derive_marketplace(spark, sf_dir)
