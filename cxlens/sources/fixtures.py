@@ -33,6 +33,9 @@ REVIEW_MESSAGES = [
     "Customer service ignored me", "It fell apart", "Meh", None,
 ]
 EXCLUDED_BRAND = "Brand#25"
+# Order of an order's lines when numbering them (every column, so it is total).
+ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+              "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
 def _m(k: Column, a: int, p: int, m: int) -> Column:
@@ -108,9 +111,7 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     # order_item_id: (l_orderkey, l_linenumber) is not unique, so number the
     # lines of an order by a total order over every column. The window is
     # partitioned by order key (a handful of lines per order).
-    item_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-        "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    item_order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
     mk_items = lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.row_number().over(item_order).alias("order_item_id"),
@@ -148,8 +149,11 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
 
     # Review score depends on lateness, the first item's seller and the
     # installment rule; first items are one row per order, joined on k.
-    first_seller = (mk_items.filter(F.col("order_item_id") == 1)
-                    .select(F.col("order_id").alias("k"), F.col("seller_id").alias("first_seller")))
+    # Line 1 is the smallest row in the numbering order: a partially aggregated
+    # min over the same columns, rather than a second window over all lines.
+    first_seller = (lineitem.groupBy(F.col("l_orderkey").alias("k"))
+                    .agg(F.min(F.struct(*ITEM_ORDER)).alias("first"))
+                    .select("k", F.col("first.l_suppkey").alias("first_seller")))
     late = (F.col("delivered_customer_ts").isNotNull()
             & (F.col("delivered_customer_ts") > F.col("estimated_delivery_ts")))
     rv = (mk_orders.filter(F.col("order_id") % 5 != 0)
