@@ -10,16 +10,36 @@ from cxlens.llm.common import documents
 SHARD_BYTES = 1 << 20
 
 
+#: Longest text, in tokens, that is not flagged as over the limit.
+TOKEN_LIMIT = 512
+SEQUENCE_TOKENS = 2048
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.token_counts import token_counts
+    return token_counts(documents(spark, sf_dir), tokenizer_path(), TOKEN_LIMIT)
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.sharding import shard_documents
     return shard_documents(documents(spark, sf_dir), SHARD_BYTES)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.packing import Capacity, pack
+    return pack(documents(spark, sf_dir), tokenizer_path(), Capacity(SEQUENCE_TOKENS))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.quality import quality_report
     return quality_report(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_extendible_sharding, op9_quality_rules,
+    op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op9_quality_rules,
 )}
