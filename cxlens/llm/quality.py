@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cxlens.llm.common import let, words_of, written
+from cxlens.llm.common import let, words_of
 
 #: Rows on which cost and selectivity are estimated. The bound is on purpose:
 #: the estimate orders the rules, it decides no document.
@@ -96,8 +96,9 @@ RULES = (
 
 def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, rejected share) of each rule on a bounded sample of the texts."""
-    sample = written(docs.select(F.col(text).cast("string").alias("t")).limit(sample_rows), "quality-sample")
-    n = max(1, sample.count())
+    texts = docs.select(F.col(text).cast("string").alias("t"))
+    rows = texts.take(sample_rows)  # reads as few partitions as it needs; limit() would cut from every one
+    n, sample = max(1, len(rows)), docs.sparkSession.createDataFrame(rows, texts.schema)
     out = []
     for rule in rules:
         began = time.perf_counter()

@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.simhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.token_counts import token_counts
     return token_counts(documents(spark, sf_dir), tokenizer_path(), TOKEN_LIMIT)
@@ -41,5 +46,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op9_quality_rules,
+    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op9_quality_rules,
 )}
