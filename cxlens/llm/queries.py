@@ -13,6 +13,8 @@ SHARD_BYTES = 1 << 20
 #: Longest text, in tokens, that is not flagged as over the limit.
 TOKEN_LIMIT = 512
 SEQUENCE_TOKENS = 2048
+#: Length of a passage that counts as repeated.
+REPEAT_BYTES = 50
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,11 +42,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), Capacity(SEQUENCE_TOKENS))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.suffix_dedup import removal_report
+    return removal_report(documents(spark, sf_dir), depth=REPEAT_BYTES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.quality import quality_report
     return quality_report(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op9_quality_rules,
+    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op7_suffix_array_dedup, op9_quality_rules,
 )}
