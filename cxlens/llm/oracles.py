@@ -21,6 +21,13 @@ leaf AS (
 SELECT doc_id, n_bytes, CASE WHEN l.d = 0 THEN '' ELSE right(bin(l.p + (1::BIGINT << l.d)), l.d::INTEGER) END AS shard,
        l.d::INTEGER AS depth, l.docs AS shard_docs, l.bytes AS shard_bytes, l.bytes > {SHARD_BYTES} AS oversize
 FROM k JOIN leaf USING (doc_id)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY payload_digest)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, p.payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest""",
     "op9_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines

@@ -42,6 +42,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), Capacity(SEQUENCE_TOKENS))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.warc import round_trip
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.suffix_dedup import removal_report
     return removal_report(documents(spark, sf_dir), depth=REPEAT_BYTES)
@@ -53,5 +58,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op7_suffix_array_dedup, op9_quality_rules,
+    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules,
 )}
