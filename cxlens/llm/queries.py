@@ -32,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path(), TOKEN_LIMIT)
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.bpe_codec import codec_report
+    return codec_report(documents(spark, sf_dir), tokenizer_path())
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.sharding import shard_documents
     return shard_documents(documents(spark, sf_dir), SHARD_BYTES)
@@ -58,5 +63,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules,
+    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules,
 )}
