@@ -25,7 +25,7 @@ from cxlens.llm.bpe import bpe
 from cxlens.llm.common import written
 
 #: Pieces of one length that one task ranks, about.
-RANK_ROWS = 20_000
+RANK_ROWS = 1_000
 
 
 @dataclass(frozen=True)
