@@ -62,6 +62,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.language_id import language_report
+    return language_report(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules,
+    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules, op10_language_id,
 )}
