@@ -57,6 +57,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir), depth=REPEAT_BYTES)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.embedding_dedup import near_duplicates
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), limit=0.95)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cxlens.llm.quality import quality_report
     return quality_report(documents(spark, sf_dir))
@@ -68,5 +73,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op9_quality_rules, op10_language_id,
+    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_quality_rules, op10_language_id,
 )}
