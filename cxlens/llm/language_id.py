@@ -179,8 +179,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     return fit(sample_labelled(docs, SAMPLE_PER_LANGUAGE, text, label, key))
 
 
-def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """The documents with ``_lang`` and ``_score``."""
+def _predictor(docs: DataFrame, model: Model):
+    """A function from a text column to a struct (lang, score)."""
     from collections.abc import Iterator
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
@@ -196,8 +196,8 @@ def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 scores += score.tolist()
             yield pd.DataFrame({"lang": langs, "score": scores})
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    scored = pandas_udf(predict, "lang string, score double")(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.withColumn("_p", scored).withColumns({"_lang": F.col("_p.lang"), "_score": F.col("_p.score")}).drop("_p")
+    scored = pandas_udf(predict, "lang string, score double")
+    return lambda text: scored(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def language_report(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -210,11 +210,12 @@ def language_report(docs: DataFrame, model: Model | None = None, text: str = "te
     enters a prediction.
     """
     model = train(docs, text, key=key) if model is None else model
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return _scored(d, model, "text").select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    d = docs.select(F.col(key).alias("doc_id"), _predictor(docs, model)(text).alias("p"))
+    return d.select("doc_id", held_out().alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, min_score: float, model: Model | None = None, text: str = "text") -> DataFrame:
     """Documents in a known language with at least this score, with their own columns."""
     model = train(docs, text) if model is None else model
-    return _scored(docs, model, text).where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= min_score)).select(*docs.columns)
+    d = docs.select(F.struct("*").alias("r"), _predictor(docs, model)(text).alias("p"))
+    return d.where((F.col("p.lang") != UNDETERMINED) & (F.col("p.score") >= min_score)).select("r.*")
