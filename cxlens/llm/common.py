@@ -54,6 +54,8 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, f"{name}-edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to u's smallest neighbour
