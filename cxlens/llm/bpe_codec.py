@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.llm.bpe import ByteBpe, bpe
-from cxlens.llm.slots import passes, slot_bitmap
+from cxlens.llm.slots import slot_bitmap
 
 #: Bytes of a chunk: least, expected beyond the least, most. Rolling window.
 LEAST, MASK, MOST, ROLL = 64, 255, 2048, 16
@@ -159,7 +159,7 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
         for i, raw, ends in _chunks(batch.column(at), tok):
             spans = [] if ends is None else list(zip([0, *ends], ends))
             hs = [_hash(raw[a:b]) for a, b in spans]
-            on = passes(shared.value, np.array([h >> 64 for h in hs], np.uint64)) if hs else []
+            on = shared.value.passes(np.array([h >> 64 for h in hs], np.uint64)) if hs else []
             yield i, raw, spans, hs, on
 
     def own(batches):

@@ -22,12 +22,26 @@ def slots(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SLOT_BITS)
 
 
-def passes(bitmap: bytes, h: np.ndarray) -> np.ndarray:
-    slot, bits = slots(h), np.frombuffer(bitmap, np.uint8)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+class Bitmap:
+    """One bit a slot. It travels compressed (few bits are set as a rule) and is unpacked once in each worker."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> bytes:
+    def __getstate__(self):
+        import zstandard
+        return zstandard.ZstdCompressor(level=1).compress(self.bits.tobytes())
+
+    def __setstate__(self, state):
+        import zstandard
+        self.bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(state), np.uint8)
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        slot = slots(h)
+        return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> Bitmap:
     """Bitmap of the slots met twice, or if ``tagged`` met with two different tags.
 
     ``hashes(batch)`` gives for a batch of ``rows`` the hashes and their tags (or None).
@@ -78,7 +92,7 @@ def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> bytes:
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = rows.mapInArrow(count, "chunk int, met binary, more binary").repartition(n, "chunk").sortWithinPartitions("chunk")
-    out = bytearray(1 << SLOT_BITS - 3)
+    out = np.zeros(1 << SLOT_BITS - 3, np.uint8)
     for c, bits in met.mapInArrow(merge, "chunk int, bits binary").collect():  # 2**SLOT_BITS bits at most
-        out[c * per // 8:(c + 1) * per // 8] = bits
-    return bytes(out)
+        out[c * per // 8:(c + 1) * per // 8] = np.frombuffer(bits, np.uint8)
+    return Bitmap(out)
