@@ -4,14 +4,16 @@
     python -m cxlens view   --warehouse WH
     python -m cxlens report --warehouse WH [--out OUT] [--show] [NAME ...]
 
-Tables and the view are Parquet folders under the warehouse path (a shared
-file system on a cluster); report results go to ``OUT/<name>`` as Parquet.
+Tables and the view are Parquet folders under the warehouse path (any file
+system Spark reads); report results go to ``OUT/<name>`` as Parquet. A load
+goes to a folder of its own and counts from when it is complete; the view lies
+beside the tables it was built from, so a new load never meets an old view.
+The session is sized from the bytes at hand and the cores it has.
 """
 
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -27,8 +29,15 @@ def _session() -> SparkSession:
     return spark
 
 
-def main(argv: list[str] | None = None) -> int:
+def _sized(spark: SparkSession, path: str, cores: int | None) -> None:
+    from cxlens.session import apply_cluster_conf
+    from cxlens.sources.files import file_statuses
+    apply_cluster_conf(spark, sum(size for _, size, _ in file_statuses(spark, path)), cores)
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cxlens")
+    p.add_argument("--cores", type=int, help="cores to size partitions for (default: what the session reports)")
     sub = p.add_subparsers(dest="cmd", required=True)
     load = sub.add_parser("load")
     src = load.add_mutually_exclusive_group(required=True)
@@ -41,39 +50,60 @@ def main(argv: list[str] | None = None) -> int:
     rep = sub.add_parser("report")
     rep.add_argument("--warehouse", required=True)
     rep.add_argument("--out")
-    rep.add_argument("--show", action="store_true")
+    rep.add_argument("--show", action="store_true", help="print every row")
     rep.add_argument("names", nargs="*")
-    args = p.parse_args(argv)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
 
     from cxlens.plans import all_reports
     from cxlens.plans.order_view import materialize_order_view, read_order_view
     from cxlens.sources import (derive_marketplace, load_csv_tables, read_parquet_tables,
                                 write_tables)
+    from cxlens.sources.files import commit_set, fresh_folder, join_path, latest_set
 
     spark = _session()
-    tables_dir = os.path.join(args.warehouse, "tables")
-    view_dir = os.path.join(args.warehouse, "order_view")
+    loads = join_path(args.warehouse, "loads")
     if args.cmd == "load":
+        _sized(spark, args.csv or args.fixture, args.cores)
         t = load_csv_tables(spark, args.csv) if args.csv else derive_marketplace(spark, args.fixture)
-        write_tables(t, tables_dir, concurrent_jobs=4)
+        folder = fresh_folder(loads)
+        write_tables(t, join_path(folder, "tables"), concurrent_jobs=4)
+        for name, df in read_parquet_tables(spark, join_path(folder, "tables")).items():
+            print(f"{name}: {df.count()} rows")
+        commit_set(spark, join_path(args.warehouse, "complete"), folder)
         return 0
+    folder = latest_set(spark, join_path(args.warehouse, "complete"))
+    if folder is None:
+        print(f"nothing is loaded in {args.warehouse}", file=sys.stderr)
+        return 2
+    tables_dir = join_path(folder, "tables")
+    _sized(spark, tables_dir, args.cores)
     t = read_parquet_tables(spark, tables_dir)
+    views = join_path(folder, "views")
     if args.cmd == "view":
+        view_dir = fresh_folder(views)
         materialize_order_view(t, view_dir, ("order_month",) if args.by_month else ())
+        commit_set(spark, join_path(folder, "complete-views"), view_dir)
         return 0
     reports = all_reports()
     unknown = [n for n in args.names if n not in reports]
     if unknown:
         print(f"unknown reports: {unknown}", file=sys.stderr)
         return 2
-    view_df = read_order_view(spark, view_dir) if os.path.exists(view_dir) else None
+    view_dir = latest_set(spark, join_path(folder, "complete-views"))
+    view_df = read_order_view(spark, view_dir) if view_dir else None
     for name in args.names or sorted(reports):
         df = reports[name].run(t, view_df)
         if args.out:
-            df.write.mode("overwrite").parquet(os.path.join(args.out, name))
+            df.write.mode("overwrite").parquet(join_path(args.out, name))
         if args.show:
             print(f"== {name}")
-            df.show(50, truncate=False)
+            print("\t".join(df.columns))
+            for row in df.toLocalIterator():
+                print("\t".join("" if x is None else str(x) for x in row))
     return 0
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on. Timestamps in the data carry no zone, so
 # the session zone is pinned; AQE re-plans joins and shuffle sizes at runtime
@@ -38,46 +39,54 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to a shared file system path (or be
-    set on the context). Only when neither is set (local tests) a private
-    scratch folder is created.
+    On a cluster it must be set, to a folder that all executors share; without
+    it this raises. Only a session whose executors are threads of this machine
+    (``local[...]``, as in tests) gets a private scratch folder instead.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        try:
-            path = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no classic context (e.g. a remote session)
-            path = None
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cxlens-ckpt-")
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # not settable at runtime in this deployment
-        pass
-    try:
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:
-        pass
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read it back: its lineage ends there."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cxlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apply_cluster_conf(spark: SparkSession, input_bytes: int, cores: int | None = None) -> dict[str, str]:
+    """Size a running session for the bytes its jobs read; returns the settings."""
+    conf = cluster_conf(input_bytes, cores or spark.sparkContext.defaultParallelism)
+    conf = {k: v for k, v in conf.items() if k.startswith("spark.sql.") and spark.conf.isModifiable(k)}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
 def cluster_conf(input_bytes: int, executor_cores_total: int,
-                 target_partition_bytes: int = 256 << 20, shuffle_fraction: float = 0.25,
-                 max_partitions: int = 100_000) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20, shuffle_fraction: float = 0.25) -> dict[str, str]:
     """Settings for a large cluster run, sized from the bytes the jobs read.
 
     The largest shuffle is the order-level join, which carries the pruned
     columns only (``shuffle_fraction`` of the input). Shuffle partitions
-    start at that volume / 256 MB (at least 2x the cores, at most
-    ``max_partitions`` to bound map-status overhead), and AQE coalesces them
-    at runtime to the advisory size, so no partition outgrows executor memory.
+    start at that volume / 256 MB (at least 2x the cores), and AQE coalesces
+    them at runtime to the advisory size, so no partition outgrows executor
+    memory.
     Skewed partitions above 5x the median and 512 MB are split by AQE.
     Auto-broadcast stays size-checked (64 MB, measured at runtime by AQE);
     nothing that grows with the data is force-broadcast.
     """
     shuffle_bytes = int(input_bytes * shuffle_fraction)
-    partitions = min(max_partitions, max(2 * executor_cores_total,
-                                         -(-shuffle_bytes // target_partition_bytes)))
+    partitions = max(2 * executor_cores_total, -(-shuffle_bytes // target_partition_bytes))
     return {
         **RECOMMENDED_CONF,
         "spark.sql.shuffle.partitions": str(partitions),

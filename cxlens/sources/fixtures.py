@@ -15,8 +15,6 @@ every input row is used and nothing is sampled, capped or subset.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +48,11 @@ def _pick(index: Column, values: list) -> Column:
     return out
 
 
+def _negated(when: Column, key: Column) -> Column:
+    """The key, or where ``when`` holds its negative, which no table has."""
+    return F.when(when, -key).otherwise(key)
+
+
 def _plus(ts: Column, unit: str, qty) -> Column:
     q = qty if isinstance(qty, Column) else F.lit(qty)
     return F.timestamp_add(unit, q, ts)
@@ -61,7 +64,7 @@ def _installments(k: Column) -> Column:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
@@ -90,13 +93,13 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
                        _plus(est_base, "HOUR", shift))
                  .otherwise(_plus(est_base, "DAY", -(shift % 9))))
     estimated = F.when(k % 499 == 0, F.lit(None)).otherwise(est_base)
-    status = (F.when(k % 11 == 0, _pick(_m(k, 37, 101, 4), CANCELED_STATUS))
+    status = (F.when(k % 463 == 0, F.lit(None)).when(k % 11 == 0, _pick(_m(k, 37, 101, 4), CANCELED_STATUS))
               .when(k % 33 == 1, F.lit("returned"))
               .otherwise(F.lit("delivered")))
 
     mk_orders = base.select(
         k.alias("order_id"),
-        k.alias("customer_id"),
+        F.when(k % 467 != 0, k).alias("customer_id"),
         status.alias("order_status"),
         purchase.alias("purchase_ts"),
         F.when(k % 101 == 0, F.lit(None)).otherwise(_plus(purchase, "HOUR", 1)).alias("approved_ts"),
@@ -112,13 +115,16 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     # lines of an order by a total order over every column. The window is
     # partitioned by order key (a handful of lines per order).
     item_order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
+    lk = F.col("l_orderkey")
+    # Orphans (negated keys), NULLs and impossible amounts, so that every audit has something to find.
     mk_items = lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
+        _negated(lk % 443 == 0, lk).alias("order_id"),
         F.row_number().over(item_order).alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast(MONEY).alias("freight_value"),
+        F.when(lk % 389 != 0, _negated(lk % 397 == 0, F.col("l_partkey"))).alias("product_id"),
+        F.when(lk % 401 != 0, _negated(lk % 409 == 0, F.col("l_suppkey"))).alias("seller_id"),
+        F.when(lk % 419 == 0, F.lit(None)).when(lk % 421 == 0, -F.col("l_extendedprice")).when(lk % 431 == 0, F.lit(0.0))
+        .otherwise(F.col("l_extendedprice")).cast(MONEY).alias("price"),
+        F.when(lk % 433 == 0, -F.col("l_quantity")).when(lk % 439 != 0, F.col("l_quantity")).cast(MONEY).alias("freight_value"),
     )
 
     mk_products = part.select(F.col("p_partkey").alias("product_id"),
@@ -145,7 +151,7 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
         F.lit("voucher").alias("payment_type"),
         F.lit(2).cast("bigint").alias("payment_installments"),
         (k % 50 + 1).cast(MONEY).alias("payment_value"))
-    mk_payments = pay1.unionByName(pay2)
+    mk_payments = pay1.unionByName(pay2).withColumn("order_id", _negated(F.col("order_id") % 449 == 0, F.col("order_id")))
 
     # Review score depends on lateness, the first item's seller and the
     # installment rule; first items are one row per order, joined on k.
@@ -164,7 +170,7 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     t = (22 + F.when(F.coalesce(F.col("late"), F.lit(False)), 12).otherwise(0)
          + F.when(F.coalesce(F.col("first_seller") % 10 == 7, F.lit(False)), 22).otherwise(0)
          + F.when(_installments(k) >= 6, 8).otherwise(0))
-    score = (F.when(2 * s < t, 1).when(s < t, 2).when(s < t + 9, 3).when(s < t + 38, 4)
+    score = (F.when(k % 461 == 0, F.lit(None)).when(2 * s < t, 1).when(s < t, 2).when(s < t + 9, 3).when(s < t + 38, 4)
              .otherwise(5))
     common = [
         k.alias("order_id"),
@@ -178,7 +184,7 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     rev2 = rv.filter((k * 31) % 211 == 0).select(
         (k * 10 + 1).alias("review_id"), F.lit(3).alias("review_score"),
         F.lit("Second review").alias("review_message"), *common)
-    mk_reviews = rev1.unionByName(rev2)
+    mk_reviews = rev1.unionByName(rev2).withColumn("order_id", _negated(F.col("order_id") % 457 == 0, F.col("order_id")))
 
     mk_geo = nation.select(F.col("n_nationkey").alias("zip_prefix"), F.col("n_name").alias("state"),
                            F.col("n_nationkey").cast("double").alias("lat"),
@@ -194,17 +200,18 @@ def derive_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
 SOURCE_TABLES = ("orders", "customer", "nation", "lineitem", "part", "supplier")
 
 
-def _fingerprint(sf_dir: str) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Key of a derived copy: the source files and the derivation rules (this module)."""
     import hashlib
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    with open(__file__, "rb") as f:
-        h.update(f.read())
+    import inspect
+    import sys
+
+    from cxlens.sources.files import file_statuses, join_path
+
+    h = hashlib.sha1(sf_dir.encode())
+    h.update(inspect.getsource(sys.modules[__name__]).encode())
     for name in SOURCE_TABLES:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+        h.update(repr(file_statuses(spark, join_path(sf_dir, f"{name}.parquet"))).encode())
     return h.hexdigest()[:16]
 
 
@@ -212,22 +219,19 @@ def load_marketplace(spark: SparkSession, sf_dir: str) -> Tables:
     """Derive the nine tables once per source snapshot, write them, read them back.
 
     The written copy lives under ``spark.checkpoint.dir`` (a shared folder on a
-    cluster), keyed by a fingerprint of the source files; later calls read
-    the Parquet copy, so every report starts from short lineage and pruned,
-    filter-pushed scans instead of re-deriving the tables.
+    cluster), keyed by the source files; later calls read the Parquet copy, so
+    every report starts from short lineage and pruned, filter-pushed scans.
+    The nine tables go to a fresh folder, recorded when all are complete, so a
+    half-written copy is never read.
     """
-    from pyspark.errors import AnalysisException
-
     from cxlens.session import ensure_checkpoint_dir
-    from cxlens.sources.files import read_parquet_tables, write_tables
-
-    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cxlens-fixtures/{_fingerprint(sf_dir)}"
-    try:
-        return read_parquet_tables(spark, target)
-    except AnalysisException:
-        pass
-    try:
+    from cxlens.sources.files import (commit_set, fresh_folder, join_path, latest_set,
+                                      read_parquet_tables, write_tables)
+
+    base = join_path(ensure_checkpoint_dir(spark), "cxlens-fixtures", _fingerprint(spark, sf_dir))
+    target = latest_set(spark, join_path(base, "complete"))
+    if target is None:
+        target = fresh_folder(base)
         write_tables(derive_marketplace(spark, sf_dir), target, concurrent_jobs=4)
-        return read_parquet_tables(spark, target)
-    except Exception:  # no writable shared folder: fall back to the lazy derivation
-        return derive_marketplace(spark, sf_dir)
+        commit_set(spark, join_path(base, "complete"), target)
+    return read_parquet_tables(spark, target)

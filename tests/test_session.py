@@ -3,7 +3,7 @@ from cxlens.session import RECOMMENDED_CONF, cluster_conf, ensure_checkpoint_dir
 
 def test_cluster_conf_sizes_partitions_from_volume():
     big = cluster_conf(100 << 40, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000          # capped
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // 4 // (256 << 20)  # no cap
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert big["spark.ui.enabled"] == "false"
     small = cluster_conf(1 << 30, 64)

@@ -1,8 +1,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from cxlens.sources import SCHEMAS, TABLE_NAMES, load_csv_tables, read_csv_table
-from cxlens.sources.files import write_tables
+from cxlens.sources.files import CsvLoadError, commit_set, latest_set, write_tables
 
 
 def test_csv_quoted_newline_doubled_quote_and_empty_fields(spark, tmp_path):
@@ -19,6 +21,52 @@ def test_csv_quoted_newline_doubled_quote_and_empty_fields(spark, tmp_path):
     assert rows[1].review_answered_ts == dt.datetime(2024, 1, 4, 8, 30)
 
 
+def _csv_dir(tmp_path, **texts):
+    for n in TABLE_NAMES:
+        head = ",".join(f.name for f in SCHEMAS[n].fields) + "\n"
+        (tmp_path / f"{n}.csv").write_text(texts.get(n, head))
+    return str(tmp_path)
+
+
+def test_csv_binds_by_header(spark, tmp_path):
+    """Columns in another order and further columns; nothing is bound by place."""
+    d = _csv_dir(tmp_path, customers="customer_id,customer_state,customer_unique_id\nc1,CA,u1\n",
+                 order_items="order_id,order_item_id,note,product_id,seller_id,freight_value,price\no1,1,hello,p1,s1,2.25,10.50\n")
+    t = load_csv_tables(spark, d)
+    assert t.customers.first().asDict() == {"customer_id": "c1", "customer_unique_id": "u1", "customer_state": "CA"}
+    item = t.order_items.first()
+    assert (item.price, item.freight_value, item.note) == (Decimal("10.50"), Decimal("2.25"), "hello")
+
+
+def test_csv_missing_column_is_an_error(spark, tmp_path):
+    with pytest.raises(CsvLoadError, match="customer_state"):
+        load_csv_tables(spark, _csv_dir(tmp_path, customers="customer_id,customer_unique_id\nc1,u1\n"))
+
+
+def test_csv_bad_cells_are_counted_and_refused(spark, tmp_path):
+    d = _csv_dir(tmp_path, order_items="order_id,order_item_id,product_id,seller_id,price,freight_value\n"
+                 "o1,x,p1,s1,10.50,\no2,y,p1,s1,ten,1\no3,3,p1,s1,1,1\n")
+    with pytest.raises(CsvLoadError, match="'order_items': {'order_item_id': 2, 'price': 1}"):
+        load_csv_tables(spark, d)
+    lazy = read_csv_table(spark, d + "/order_items.csv", SCHEMAS["order_items"], name="order_items")
+    with pytest.raises(Exception, match="order_items.order_item_id"):
+        lazy.collect()
+
+
+def test_csv_row_with_too_few_cells_is_an_error(spark, tmp_path):
+    d = _csv_dir(tmp_path, customers="customer_id,customer_unique_id,customer_state\nc1,u1\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_csv_tables(spark, d).customers.collect()
+
+
+def test_half_written_set_is_not_read(spark, tmp_path):
+    log = str(tmp_path / "complete")
+    assert latest_set(spark, log) is None
+    commit_set(spark, log, "first")
+    commit_set(spark, log, "second")
+    assert latest_set(spark, log) == "second"
+
+
 def test_load_all_tables_from_csv_and_write_parquet(spark, tmp_path):
     heads = {n: ",".join(f.name for f in SCHEMAS[n].fields) for n in TABLE_NAMES}
     for n in TABLE_NAMES:
@@ -39,14 +87,33 @@ def test_fixture_tables_have_expected_shape(fixture_tables):
         t.order_items.select("order_id").distinct().count()
 
 
-def test_cli_load_view_report(spark, tmp_path):
+@pytest.fixture
+def same_settings(spark):
+    """The command line sizes the session; put its settings back."""
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_cli_load_view_report(spark, tmp_path, capsys, same_settings):
     from cxlens.__main__ import main
     wh, out = str(tmp_path / "wh"), str(tmp_path / "out")
-    assert main(["load", "--fixture", "/root/testdata/sf0.001", "--warehouse", wh]) == 0
+    assert main(["report", "--warehouse", wh, "rc_distribution"]) == 2
+    assert main(["--cores", "3", "load", "--fixture", "/root/testdata/sf0.001", "--warehouse", wh]) == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "6"  # sized for the cores named
+    assert "orders: 1500 rows" in capsys.readouterr().out
     assert main(["view", "--warehouse", wh]) == 0
     assert main(["report", "--warehouse", wh, "--out", out, "rc_distribution", "dq_row_counts"]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "rc_distribution")).count() > 0
     assert spark.read.parquet(str(tmp_path / "out" / "dq_row_counts")).count() == 9
+    capsys.readouterr()
+    assert main(["report", "--warehouse", wh, "--show", "ext_delay_alerts"]) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert len(shown) > 52  # every row, not the first fifty
 
 
 def test_reference_style_sql_on_registered_views(spark, fixture_tables):
