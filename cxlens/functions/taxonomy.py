@@ -1,7 +1,7 @@
 """Keyword taxonomy: ordered substring rules over lower-cased text.
 
 ``classify`` turns ordered (label, substrings) rules into one CASE expression
-of ``contains`` tests on a text projected to lower case once. The first rule
+of ``contains`` tests on the lower-cased text. The first rule
 with any hit wins; rows that pass the gate without a hit get the fallback
 label; rows failing the gate get NULL. It runs inside whole-stage codegen.
 """

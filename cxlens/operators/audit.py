@@ -24,7 +24,13 @@ def null_audit(df: DataFrame, total: str, rules: Mapping[str, Column]) -> DataFr
                     for name, cond in rules.items()])
 
 
-def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose key has no parent (a NULL key is an orphan)."""
+def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:
+    """One row: how many child rows have a key without a parent (a NULL key is an orphan).
+
+    The child is counted by key before it is shuffled, so a hot key is one row
+    of each map task.
+    """
     keys = parent.select(F.col(parent_key).alias("__pk"))
-    return child.select(child_key).join(keys, F.col(child_key) == F.col("__pk"), "left_anti")
+    counted = child.groupBy(F.col(child_key).alias("__fk")).agg(F.count(F.lit(1)).alias("__n"))
+    orphans = counted.join(keys, F.col("__fk") == F.col("__pk"), "left_anti")
+    return orphans.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias(out))

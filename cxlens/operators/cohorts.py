@@ -1,51 +1,19 @@
 """Threshold cohorts over per-entity statistics.
 
-The input here is always an aggregate (one row per seller, per state, ...),
-so the quantile runs over entity rows, not raw events. The quantile is the
-exact, linearly interpolated one by default; ``approx=True`` switches to
-the bounded-memory sketch for very many entities. Thresholds are one-row
-frames, broadcast by construction (size bound: 1 row).
+The input is always an aggregate (one row per seller, per state, ...). The
+threshold is the exact, linearly interpolated quantile, found in distributed
+rounds (``operators.quantiles``); it is one number, compared with the entity
+rows where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cxlens.operators.quantiles import exact_quantile
 
-def quantile_threshold(stats: DataFrame, metric: str, q: float = 0.9, out: str = "threshold",
-                       approx: bool = False, accuracy: int = 100_000) -> DataFrame:
-    """One-row frame holding the ``q`` quantile of ``metric`` across entity rows."""
-    if approx:
-        agg = F.percentile_approx(F.col(metric), F.lit(q), F.lit(accuracy)).cast("double")
-    else:
-        agg = F.percentile(F.col(metric), F.lit(q))
-    return stats.agg(agg.alias(out))
 
-
-def flag_against(stats: DataFrame, one_row: DataFrame, cond: Column, out: str,
-                 hit: str, miss: str) -> DataFrame:
-    """Attach a one-row frame to every entity row and label rows by ``cond``."""
-    return (stats.crossJoin(F.broadcast(one_row))
-            .withColumn(out, F.when(cond, F.lit(hit)).otherwise(F.lit(miss))))
-
-
-def relative_hotspots(stats: DataFrame, rate: str, baseline: DataFrame, baseline_col: str,
-                      factor: float = 2.0, out: str = "region_flag") -> DataFrame:
-    """Flag entities whose rate is at least ``factor`` times the baseline rate."""
-    return flag_against(stats, baseline, F.col(rate) >= F.col(baseline_col) * factor, out,
-                        "hotspot", "standard")
-
-
-def with_quantile(rows: DataFrame, metric: str | Column, q: float, out: str,
-                  approx: bool = False, accuracy: int = 100_000) -> DataFrame:
-    """Attach the ``q`` quantile of ``metric`` over all rows (NULL metrics ignored).
-
-    A window over entity-level rows (one per seller, or per seller and key),
-    so the threshold and the rows it flags stay in one plan branch and the
-    source is scanned once.
-    """
-    m = F.col(metric) if isinstance(metric, str) else metric
-    agg = (F.percentile_approx(m, F.lit(q), F.lit(accuracy)).cast("double") if approx
-           else F.percentile(m, F.lit(q)))
-    return rows.withColumn(out, agg.over(Window.partitionBy()))
+def with_quantile(rows: DataFrame, metric: str | Column, q: float, out: str, upper: float = 1.0) -> DataFrame:
+    """Attach the ``q`` quantile of ``metric`` (between 0 and ``upper``) over all rows (NULL metrics ignored)."""
+    return rows.withColumn(out, F.lit(exact_quantile(rows, metric, q, upper)).cast("double"))

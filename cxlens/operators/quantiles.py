@@ -1,64 +1,73 @@
-"""Exact quantile with bounded per-task work.
+"""Exact quantile with bounded per-task work, whatever the values.
 
-``percentile``/``median`` keep every distinct value of the column in one
-map that is merged in a single task. Here the column is first collapsed to
-(value, count) rows, so a hot value is one row, then:
-
-1. the value range [lo, hi] is cut into at most ``buckets`` equal-width
-   buckets and counted per bucket (at most ``buckets`` rows, one small
-   running-sum window);
-2. the buckets holding the two ranks around ``(n - 1) * q`` are picked and
-   only their distinct values are ranked (a window partitioned by bucket).
-
-For an integer column a bucket holds at most ``width = (hi - lo + 1) / buckets``
-distinct values, so every task's work is bounded by ``buckets`` or ``width``,
-whatever the row count. The result is the linearly interpolated quantile
-``v1 + (v2 - v1) * frac`` (exact for integers: e.g. a median of cents).
+``percentile``/``median`` merge every distinct value in one task. Here the
+column is first collapsed to (value, count) rows, so a hot value is one row,
+and written to the shared folder. Each value has an integer image that never
+falls as the value rises, and the two ranks around ``(n - 1) * q`` are found
+digit by digit: each round counts, in the buckets that hold a rank, the next
+``DIGIT`` bits of the image, at most ``2 * 2**DIGIT`` rows, which go to the
+driver, and keeps the bucket of each rank. Digits have a fixed width, so an
+outlier cannot push all other values into one bucket; at most four rounds
+settle 64 bits. Values that share the last image (one, for integers) are
+ranked themselves, and the result is interpolated on the original values:
+``v1 + (v2 - v1) * frac``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1 << 16
+from cxlens.session import written
 
+#: Bits of a digit; a round counts at most ``2 * 2**DIGIT`` buckets.
+DIGIT = 16
+#: Bits of the image of a double between 0 and its upper bound.
+IMAGE_BITS = 46
 
-def exact_quantile(df: DataFrame, value: str | Column, q: float, out: str = "quantile",
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One-row frame with the exact interpolated ``q`` quantile of an integer column."""
+
+def exact_quantile(df: DataFrame, value: str | Column, q: float, upper: float | None = None,
+                   weight: str | None = None) -> float | None:
+    """The exact interpolated ``q`` quantile (NULLs ignored; None without values).
+
+    Without ``upper`` the column holds integers of up to 64 bits, with it
+    doubles between ``-upper`` and ``upper``. ``weight`` names a column that
+    says how often a row counts.
+    """
     x = F.col(value) if isinstance(value, str) else value
-    vals = (df.select(x.cast("bigint").alias("x")).filter(F.col("x").isNotNull())
-            .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
-    stats = vals.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    pos = (F.col("n") - 1).cast("double") * q
-    stats = stats.select(
-        "lo", F.floor(pos).cast("bigint").alias("r1"), F.ceil(pos).cast("bigint").alias("r2"),
-        (pos - F.floor(pos)).alias("frac"),
-        F.greatest(F.lit(1).cast("bigint"),
-                   F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(buckets)).cast("bigint"))
-        .alias("width"))
-    one = F.broadcast(stats)  # one row
+    x = x.cast("bigint" if upper is None else "double")
+    image = F.col("x") if upper is None else F.floor(F.col("x") * ((1 << IMAGE_BITS) / upper)).cast("bigint")
+    vals = (df.select(x.alias("x"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("c"))
+            .filter(F.col("x").isNotNull()).groupBy("x").agg(F.sum("c").alias("c")).select("x", "c", image.alias("i")))
+    vals = written(vals, "quantile")
+    n, low, high = vals.agg(F.sum("c"), F.min("i"), F.max("i")).first()
+    if not n:
+        return None
+    position = (n - 1) * q
+    ranks = (math.floor(position), math.ceil(position))
+    shift = 0
+    while shift < 64 - DIGIT and low >> shift + DIGIT != high >> shift + DIGIT:
+        shift += DIGIT
+    held = [(None, 0), (None, 0)]  # for each rank its bucket and the number of values before it
+    while shift >= 0:
+        parent = F.shiftright("i", shift + DIGIT) if shift + DIGIT < 64 else F.lit(0)
+        rows = vals if held[0][0] is None else vals.filter(parent.isin({b for b, _ in held}))
+        counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("i", shift).alias("b")).agg(F.sum("c")).collect())
+        held = [_bucket([c for c in counts if b is None or c[0] >> DIGIT == b], rank, before)
+                for rank, (b, before) in zip(ranks, held)]
+        shift -= DIGIT
+    rows = vals.filter(F.col("i").isin({b for b, _ in held})).select("x", "c", "i").collect()
+    v1, v2 = (float(_bucket(sorted((r["x"], r["c"]) for r in rows if r["i"] == b), rank, before)[0])
+              for rank, (b, before) in zip(ranks, held))
+    return v1 + (v2 - v1) * (position - ranks[0])
+
 
-    bucketed = vals.crossJoin(one).withColumn(
-        "b", F.floor((F.col("x") - F.col("lo")) / F.col("width")).cast("bigint"))
-    per_bucket = bucketed.groupBy("b").agg(F.sum("c").alias("bc"))
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (per_bucket.withColumn("end", F.sum("bc").over(running))
-              .withColumn("start", F.col("end") - F.col("bc")))
-    wanted = (ranges.crossJoin(one)
-              .filter(((F.col("r1") >= F.col("start")) & (F.col("r1") < F.col("end")))
-                      | ((F.col("r2") >= F.col("start")) & (F.col("r2") < F.col("end"))))
-              .select("b", F.col("start").alias("b_start")))
-    within = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding,
-                                                               Window.currentRow)
-    ranked = (bucketed.join(F.broadcast(wanted), "b")  # at most two buckets
-              .withColumn("e", F.col("b_start") + F.sum("c").over(within))
-              .withColumn("s", F.col("e") - F.col("c")))
-    hit1 = (F.col("r1") >= F.col("s")) & (F.col("r1") < F.col("e"))
-    hit2 = (F.col("r2") >= F.col("s")) & (F.col("r2") < F.col("e"))
-    picked = ranked.agg(F.max(F.when(hit1, F.col("x"))).alias("v1"),
-                        F.max(F.when(hit2, F.col("x"))).alias("v2"),
-                        F.first("frac", ignorenulls=True).alias("frac"))
-    v1, v2 = F.col("v1").cast("double"), F.col("v2").cast("double")
-    return picked.select((v1 + (v2 - v1) * F.col("frac")).alias(out))
+def _bucket(counts: list[tuple], rank: int, before: int) -> tuple:
+    """The bucket that holds a rank, and the number of values before it."""
+    for bucket, c in counts:
+        if rank < before + c:
+            return bucket, before
+        before += c
+    raise ValueError("a rank beyond the values")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cxlens.functions import pct, round_half, round_money
 from cxlens.operators import exact_quantile, fk_orphans, null_audit, row_counts, running_share, share_of_total
 from cxlens.plans.order_view import VIEW_COLUMNS
+from cxlens.plans.common import c
 from cxlens.plans.registry import report
+from cxlens.session import written
 from cxlens.sources.tables import TABLE_NAMES, Tables
 
 
@@ -46,8 +48,7 @@ def dq_date_coverage(t: Tables) -> DataFrame:
 
 @report("sanity_orphan_items")
 def sanity_orphan_items(t: Tables) -> DataFrame:
-    return (fk_orphans(t.order_items, "order_id", t.orders, "order_id")
-            .agg(F.count(F.lit(1)).alias("orphaned_items")))
+    return fk_orphans(t.order_items, "order_id", t.orders, "order_id", "orphaned_items")
 
 
 @report("dq_null_orders")
@@ -109,8 +110,7 @@ FK_EDGES = [
 
 @report("dq_fk_integrity")
 def dq_fk_integrity(t: Tables) -> DataFrame:
-    parts = [fk_orphans(t[child], ck, t[parent], pk)
-             .agg(F.count(F.lit(1)).alias("orphaned_records"))
+    parts = [fk_orphans(t[child], ck, t[parent], pk, "orphaned_records")
              .select(F.lit(label).alias("relationship"), "orphaned_records")
              for label, child, ck, parent, pk in FK_EDGES]
     out = parts[0]
@@ -121,19 +121,20 @@ def dq_fk_integrity(t: Tables) -> DataFrame:
 
 @report("dq_price_sanity")
 def dq_price_sanity(t: Tables) -> DataFrame:
-    price = F.col("price")
-    stats = t.order_items.agg(
-        round_money(F.min(price), 2).alias("min_price"),
-        round_money(F.max(price), 2).alias("max_price"),
-        round_half(F.sum(price).cast("double") / F.count(price), 2).alias("avg_price"),
-        round_money(F.sum(price), 2).alias("total_gmv"),
-        F.count(F.lit(1)).alias("total_items"))
-    # Exact median on integer cents (the midpoint of two cents values is exact
-    # in double), with bounded per-task work (operators.quantiles).
-    median = exact_quantile(t.order_items, (price * 100).cast("bigint"), 0.5, "m")
-    return (stats.crossJoin(F.broadcast(median))
-            .select("min_price", "max_price", "avg_price",
-                    (F.round("m", 0) / 100.0).alias("median_price"), "total_gmv", "total_items"))
+    # One roll-up by price in cents; the totals and the median's digit rounds read it.
+    cents = F.col("cents")
+    prices = (t.order_items.groupBy((F.col("price") * 100).cast("bigint").alias("cents"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    prices = written(prices, "prices")
+    total = F.sum(cents.cast("decimal(38,0)") * c("n"))
+    stats = prices.agg(
+        (F.min(cents) / 100.0).alias("min_price"), (F.max(cents) / 100.0).alias("max_price"),
+        round_half(total.cast("double") / 100.0 / F.sum(F.when(cents.isNotNull(), c("n"))), 2).alias("avg_price"),
+        (total.cast("double") / 100.0).alias("total_gmv"), F.sum("n").alias("total_items"))
+    # The median of a decimal is the midpoint of two prices, rounded half away from zero.
+    median = F.lit(exact_quantile(prices, cents, 0.5, weight="n")).cast("double")
+    return stats.select("min_price", "max_price", "avg_price",
+                        (F.round(median, 0) / 100.0).alias("median_price"), "total_gmv", "total_items")
 
 
 @report("dq_review_coverage")

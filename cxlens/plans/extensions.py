@@ -13,6 +13,8 @@
 * ``ext_delay_alerts``: orders at least 2 days past the estimate as of a
   date (compensation at 4+), open orders included.
 * ``ext_installment_priority``: 6+ installment orders with delivery state.
+* ``payment_methods``: payment types used per order.
+* ``ext_taxonomy_on_documents``: the keyword classifier on ``documents``.
 
 The streaming versions of the alerts live in ``cxlens.streaming``.
 """
@@ -22,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cxlens.functions import ratio, round_half
-from cxlens.operators import quantile_threshold, with_quantile
+from cxlens.functions import classify, ratio, round_half
+from cxlens.operators import rate_table, share_of_total, with_quantile
 from cxlens.plans.common import c, detractor, n_rows, reviewed
 from cxlens.plans.order_view import order_columns, payment_totals
 from cxlens.plans.registry import report
@@ -56,22 +58,27 @@ def ext_monthly_detractor_volume(v: DataFrame) -> DataFrame:
 
 
 @report("ext_lift_table", uses=["review_score", "is_late", "is_detractor", "delivery_bucket",
-                                "installment_bucket", "seller_id", "order_gmv"])
+                                "installment_bucket", "seller_id"])
 def ext_lift_table(v: DataFrame, min_rows: int = 30, q: float = 0.9) -> DataFrame:
-    d = c("is_detractor")
-    rates = v.filter(reviewed()).agg(
-        F.avg(F.when(c("is_late") == 0, d)).alias("on_time"),
-        F.avg(F.when(c("is_late") == 1, d)).alias("late"),
-        F.avg(F.when(c("delivery_bucket") == "late_8_plus_days", d)).alias("late8"),
-        F.avg(F.when(c("installment_bucket") == "1_installment", d)).alias("single"),
-        F.avg(F.when(c("installment_bucket") == "6_plus_installments", d)).alias("six"))
-    stats = seller_rates(v, min_rows)
-    p = quantile_threshold(stats, "detractor_rate", q, "p90")
+    # One roll-up serves the order-level rates and, summed again by seller, the cohorts.
+    sums = rate_table(v.filter(reviewed()), ["seller_id", "is_late", "delivery_bucket", "installment_bucket"], rows="n",
+                      aggregates=[F.sum("is_detractor").alias("det")])
+
+    def rate(when, name):
+        return (F.sum(F.when(when, c("det"))).cast("double") / F.sum(F.when(when, c("n")))).alias(name)
+
+    rates = sums.agg(
+        rate(c("is_late") == 0, "on_time"), rate(c("is_late") == 1, "late"),
+        rate(c("delivery_bucket") == "late_8_plus_days", "late8"),
+        rate(c("installment_bucket") == "1_installment", "single"),
+        rate(c("installment_bucket") == "6_plus_installments", "six"))
+    sellers = (sums.groupBy("seller_id").agg(F.sum("n").alias("n"), F.sum("det").alias("det"))
+               .filter(c("n") >= min_rows).select(ratio("det", "n").alias("detractor_rate")))
     problem = c("detractor_rate") >= c("p90")
-    cohorts = stats.crossJoin(F.broadcast(p)).agg(
+    cohorts = with_quantile(sellers, "detractor_rate", q, "p90").agg(
         F.avg(F.when(problem, c("detractor_rate"))).alias("problem"),
         F.avg(F.when(~problem, c("detractor_rate"))).alias("standard"))
-    return rates.crossJoin(cohorts).select(
+    return rates.crossJoin(F.broadcast(cohorts)).select(
         round_half(ratio("late", "on_time"), 2).alias("late_vs_on_time"),
         round_half(ratio("late8", "on_time"), 2).alias("late_8_plus_vs_on_time"),
         round_half(ratio("six", "single"), 2).alias("six_plus_vs_single_installment"),
@@ -139,3 +146,24 @@ def ext_installment_priority(t: Tables, min_installments: int = 6) -> DataFrame:
             .select("order_id", "max_installments", "order_status",
                     cols["delivery_bucket"].alias("delivery_bucket"),
                     cols["is_late"].alias("is_late")))
+
+
+@report("payment_methods")
+def payment_methods(t: Tables) -> DataFrame:
+    """Per order: how many payment types were used, with the installments and the amount."""
+    return payment_totals(t, with_methods=True).select(
+        "order_id", "payment_methods", "max_installments", F.col("total_paid").cast("double").alias("total_paid"))
+
+
+#: Rules for documents as data: label, then substrings of the lower-cased text; the first hit wins.
+DOCUMENT_RULES = [
+    ("license", ["license", "licence", "copyright"]),
+    ("contact", ["@"]),
+    ("credential", ["token =", "password", "secret"]),
+]
+
+
+def taxonomy_on_documents(docs: DataFrame, rules=DOCUMENT_RULES, fallback: str = "other") -> DataFrame:
+    """Documents per label of ``rules``, over whole texts."""
+    labelled = docs.select(classify(c("text"), rules, fallback=fallback).alias("label"))
+    return share_of_total(labelled.groupBy("label").agg(n_rows("documents")), "documents", "pct_of_documents").orderBy("label")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import round_half
 from cxlens.operators.shares import order_rank
+from cxlens.operators import rate_table
 from cxlens.plans.common import (delivered, detractor, reviewed, avg2, c, detractor_gmv,
                                  mean_money, money0, n_rows, pct_of, sum_long)
 from cxlens.plans.order_view import INSTALLMENT_BUCKETS
@@ -38,12 +39,11 @@ def inst_by_bucket(v: DataFrame) -> DataFrame:
 
 @report("inst_by_category", uses=_USES + ["category_name", "max_installments"])
 def inst_by_category(v: DataFrame, min_rows: int = 200) -> DataFrame:
-    return (v.filter(reviewed() & c("category_name").isNotNull()).groupBy("category_name").agg(
-        n_rows("orders"), round_half(F.avg("max_installments"), 1).alias("avg_installments"),
+    return rate_table(v.filter(reviewed() & c("category_name").isNotNull()), ["category_name"], min_rows, "orders", [
+        round_half(F.avg("max_installments"), 1).alias("avg_installments"),
         round_half(_share_6plus(), 1).alias("pct_6plus_installments"),
         pct_of("is_detractor", "detractor_rate_pct"),
-        mean_money(c("order_gmv"), 2, "avg_order_gmv"))
-        .filter(c("orders") >= min_rows).orderBy(F.desc("pct_6plus_installments")))
+        mean_money(c("order_gmv"), 2, "avg_order_gmv")]).orderBy(F.desc("pct_6plus_installments"))
 
 
 @report("inst_late_combined", uses=_USES + ["is_late"])

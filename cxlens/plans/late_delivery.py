@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cxlens.functions import round_half
 from cxlens.operators.shares import order_rank
+from cxlens.operators import rate_table
 from cxlens.plans.common import (delivered, detractor, reviewed, avg2, c, detractor_gmv,
                                  mean_money, money0, n_rows, pct_of, sum_long)
 from cxlens.plans.order_view import DELIVERY_BUCKETS
@@ -53,12 +54,10 @@ def late_monthly_trend(v: DataFrame) -> DataFrame:
 @report("late_by_state",
         uses=["review_score", "is_late", "customer_state", "is_detractor", "order_gmv"])
 def late_by_state(v: DataFrame, min_rows: int = 200) -> DataFrame:
-    return (v.filter(reviewed() & delivered()).groupBy("customer_state").agg(
-        n_rows("delivered_orders"), sum_long("is_late", "late_orders"),
+    return rate_table(v.filter(reviewed() & delivered()), ["customer_state"], min_rows, "delivered_orders", [
+        sum_long("is_late", "late_orders"),
         pct_of("is_late", "late_rate_pct"), pct_of("is_detractor", "detractor_rate_pct"),
-        detractor_gmv("gmv_at_risk"))
-        .filter(c("delivered_orders") >= min_rows)
-        .orderBy(F.desc("late_rate_pct")))
+        detractor_gmv("gmv_at_risk")]).orderBy(F.desc("late_rate_pct"))
 
 
 @report("late_headline",

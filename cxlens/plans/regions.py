@@ -1,6 +1,6 @@
 """Where logistics fail: states at or above twice the national late rate.
 
-Each report scans the view once into a small roll-up ((month, state), or
+Each report scans the view once into a small roll-up (state, (month, state), or
 (state, root cause, lateness)); state totals are windows partitioned by
 state over the roll-up (a few rows per state), and the national rate is a
 window over the per-state rows, computed before the minimum-rows filter so
@@ -13,26 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import pct, ratio, round_half, round_money
-from cxlens.operators import share_of_total
+from cxlens.operators import rate_table, share_of_total
 from cxlens.plans.common import c, delivered, detractor, n_rows, reviewed, sum_long
 from cxlens.plans.registry import report
 
 MIN_ROWS = 100
 FACTOR = 2.0
 
-_USES = ["review_score", "is_late", "customer_state", "is_detractor", "order_gmv", "order_month"]
+_USES = ["review_score", "is_late", "customer_state", "is_detractor", "order_gmv"]
 
 
-def state_month_rollup(v: DataFrame) -> DataFrame:
-    """Reviewed and delivered rows summed per (month, state): the one scan of the view.
+def rollup(v: DataFrame, *keys: str) -> DataFrame:
+    """Reviewed and delivered rows summed by key: the one scan of the view.
 
-    Every state-level, national and monthly figure below is an exact
-    re-aggregation of these sums (integer counts, decimal money).
+    State-level, national and monthly figures below are exact
+    re-aggregations of these sums (integer counts, decimal money).
     """
-    return (v.filter(reviewed() & delivered()).groupBy("order_month", "customer_state").agg(
-        n_rows("n"), F.sum("is_late").alias("late"), F.sum("is_detractor").alias("det"),
+    return rate_table(v.filter(reviewed() & delivered()), keys, rows="n", aggregates=[
+        F.sum("is_late").alias("late"), F.sum("is_detractor").alias("det"),
         F.sum("review_score").alias("score"), F.sum("order_gmv").alias("gmv"),
-        F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))).alias("det_gmv")))
+        F.sum(F.when(detractor(), c("order_gmv")).otherwise(F.lit(0))).alias("det_gmv")])
 
 
 def _national(late: str, n: str):
@@ -49,11 +49,9 @@ def _is_hotspot(n, late, national, min_rows: int, factor: float):
 
 def state_rates(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
     """One row per state with >= min_rows rows: rates, money, national rate and flag."""
-    states = (state_month_rollup(v).groupBy("customer_state").agg(
-        F.sum("n").alias("reviewed_orders"), F.sum("late").alias("late"),
-        F.sum("det").alias("det"), F.sum("score").alias("score"),
-        F.sum("gmv").alias("total_gmv"), F.sum("det_gmv").alias("detractor_gmv"))
-        .withColumn("national_late_rate", _national("late", "reviewed_orders")))
+    states = (rollup(v, "customer_state")
+              .withColumnsRenamed({"n": "reviewed_orders", "gmv": "total_gmv", "det_gmv": "detractor_gmv"})
+              .withColumn("national_late_rate", _national("late", "reviewed_orders")))
     return (states.filter(c("reviewed_orders") >= min_rows)
             .withColumn("late_rate", ratio("late", "reviewed_orders"))
             .withColumn("detractor_rate", ratio("det", "reviewed_orders"))
@@ -106,11 +104,11 @@ def region_hotspot_root_causes(v: DataFrame, min_rows: int = MIN_ROWS,
                                factor: float = FACTOR) -> DataFrame:
     # One scan: reviewed rows per (state, root cause, lateness). Delivered rows
     # give the hotspot test, detractor rows (root cause not NULL) the counts.
-    rollup = (v.filter(reviewed()).groupBy("customer_state", "root_cause", "is_late").agg(
-        n_rows("n"), F.sum("is_late").alias("late")))
+    causes = rate_table(v.filter(reviewed()), ["customer_state", "root_cause", "is_late"], rows="n",
+                        aggregates=[F.sum("is_late").alias("late")])
     dn = F.when(c("is_late").isNotNull(), c("n"))
     per_state = Window.partitionBy("customer_state")
-    flagged = (rollup
+    flagged = (causes
                .withColumn("st_n", F.sum(dn).over(per_state))
                .withColumn("st_late", F.sum("late").over(per_state))
                .withColumn("nat", _national("late", dn)))
@@ -121,16 +119,16 @@ def region_hotspot_root_causes(v: DataFrame, min_rows: int = MIN_ROWS,
         F.desc("detractor_reviews"))
 
 
-@report("region_monthly_trend", uses=_USES)
+@report("region_monthly_trend", uses=_USES + ["order_month"])
 def region_monthly_trend(v: DataFrame, min_rows: int = MIN_ROWS, factor: float = FACTOR) -> DataFrame:
     per_state = Window.partitionBy("customer_state")  # rows per state = months
-    rollup = (state_month_rollup(v)
+    months = (rollup(v, "order_month", "customer_state")
               .withColumn("st_n", F.sum("n").over(per_state))
               .withColumn("st_late", F.sum("late").over(per_state))
               .withColumn("nat", _national("late", "n")))
     region_type = F.when(_is_hotspot(c("st_n"), c("st_late"), c("nat"), min_rows, factor),
                          "hotspot").otherwise("standard")
-    return (rollup.groupBy("order_month", region_type.alias("region_type")).agg(
+    return (months.groupBy("order_month", region_type.alias("region_type")).agg(
         sum_long("n", "orders"),
         round_half(ratio(F.sum("late"), F.sum("n")) * 100, 1).alias("late_rate_pct"),
         round_half(ratio(F.sum("det"), F.sum("n")) * 100, 1).alias("detractor_rate_pct"))

@@ -2,10 +2,9 @@
 
 Per-seller statistics are one partially aggregated group-by (a seller with
 a third of all rows is pre-reduced on every map task). The P90 threshold is
-a window over the seller rows, so threshold and flags come from one scan.
+found in distributed rounds over the seller rows.
 Category and root-cause breakdowns aggregate view rows to (seller, key)
-first; seller totals and the cohort test are windows over that roll-up,
-never over raw rows.
+first; seller totals are windows over that roll-up, never over raw rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import ratio, round_half, round_money
-from cxlens.operators import share_of_total, with_quantile
+from cxlens.operators import rate_table, share_of_total, with_quantile
 from cxlens.plans.common import avg2, c, money0, n_rows, pct_of, reviewed, sum_long
 from cxlens.plans.registry import report
 
@@ -24,21 +23,18 @@ QUANTILE = 0.90
 
 def seller_rates(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
     """Unrounded per-seller rates over reviewed rows (sellers with >= min_rows)."""
-    return (v.filter(reviewed()).groupBy("seller_id").agg(
-        n_rows("reviewed_orders"),
+    return rate_table(v.filter(reviewed()), ["seller_id"], min_rows, "reviewed_orders", [
         F.avg("is_detractor").alias("detractor_rate"),
         F.sum("order_gmv").alias("total_gmv"),
-        F.sum(c("is_detractor") * c("order_gmv")).alias("detractor_gmv"))
-        .filter(c("reviewed_orders") >= min_rows))
+        F.sum(c("is_detractor") * c("order_gmv")).alias("detractor_gmv")])
 
 
-def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE,
-                 approx: bool = False) -> DataFrame:
+def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
     """Reviewed rows summed per (seller, key), kept for sellers in the P90 cohort.
 
-    One scan: seller totals are windows partitioned by seller over the
-    roll-up (at most one row per key value per seller), and P90 runs over
-    one representative row per qualifying seller. A NULL seller takes part
+    Seller totals are windows partitioned by seller over the roll-up (at
+    most one row per key value per seller), and P90 runs over one
+    representative row per qualifying seller. A NULL seller takes part
     in the P90 but never matches a seller list, so its rows are dropped.
     """
     rollup = (v.filter(reviewed()).groupBy("seller_id", key).agg(
@@ -50,31 +46,29 @@ def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float
             .withColumn("seller_rate", ratio(F.sum("det").over(per_seller), c("seller_n")))
             .withColumn("_rep", F.row_number().over(first) == 1))
     eligible = c("seller_n") >= min_rows
-    rows = with_quantile(rows, F.when(c("_rep") & eligible, c("seller_rate")), q, "p90", approx)
+    rows = with_quantile(rows, F.when(c("_rep") & eligible, c("seller_rate")), q, "p90")
     return rows.filter(eligible & (c("seller_rate") >= c("p90")) & c("seller_id").isNotNull())
 
 
 @report("seller_overview", uses=["review_score", "seller_id", "is_detractor", "is_promoter",
                                  "order_gmv", "is_late"])
 def seller_overview(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
-    return (v.filter(reviewed()).groupBy("seller_id").agg(
-        n_rows("reviewed_orders"), pct_of("is_detractor", "detractor_rate_pct"),
+    return rate_table(v.filter(reviewed()), ["seller_id"], min_rows, "reviewed_orders", [
+        pct_of("is_detractor", "detractor_rate_pct"),
         pct_of("is_promoter", "promoter_rate_pct"), avg2("review_score", "avg_review_score"),
-        money0(c("order_gmv"), "total_gmv"), pct_of("is_late", "late_rate_pct"))
-        .filter(c("reviewed_orders") >= min_rows).orderBy(F.desc("detractor_rate_pct")))
+        money0(c("order_gmv"), "total_gmv"), pct_of("is_late", "late_rate_pct")]).orderBy(F.desc("detractor_rate_pct"))
 
 
 @report("seller_flagged", uses=["review_score", "seller_id", "is_detractor", "order_gmv",
                                 "is_late"])
 def seller_flagged(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
     # This cohort ranks the *rounded* percentage.
-    stats = (v.filter(reviewed()).groupBy("seller_id").agg(
-        n_rows("reviewed_orders"), pct_of("is_detractor", "detractor_rate_pct"),
+    stats = rate_table(v.filter(reviewed()), ["seller_id"], min_rows, "reviewed_orders", [
+        pct_of("is_detractor", "detractor_rate_pct"),
         avg2("review_score", "avg_review_score"), money0(c("order_gmv"), "total_gmv"),
         money0(c("is_detractor") * c("order_gmv"), "detractor_gmv"),
-        pct_of("is_late", "late_rate_pct"))
-        .filter(c("reviewed_orders") >= min_rows))
-    flagged = with_quantile(stats, "detractor_rate_pct", q, "p90").withColumn(
+        pct_of("is_late", "late_rate_pct")])
+    flagged = with_quantile(stats, "detractor_rate_pct", q, "p90", upper=100.0).withColumn(
         "cohort_flag", F.when(c("detractor_rate_pct") >= c("p90"), "problem_seller")
         .otherwise("standard"))
     return flagged.drop("p90").orderBy(F.desc("detractor_rate_pct"))

@@ -60,7 +60,7 @@ def skewed_rows(n_orders: int = 3000, seed: int = 11) -> dict[str, list[tuple]]:
             rows["reviews"].append((f"r{i}_{k}", oid, score, None, rng.choice(MESSAGES),
                                     purchase + dt.timedelta(days=rng.randint(5, 40)), answered))
     for p in ["p_hot"] + [f"p{i}" for i in range(0, 300, 1) if i % 7]:
-        cat = "c_hot" if p == "p_hot" else f"c{hash(p) % 9}"
+        cat = "c_hot" if p == "p_hot" else f"c{int(p[1:]) % 9}"
         rows["products"].append((p, cat, rng.randint(1, 50) * 100))
     rows["product_categories"] = [("c_hot", "HOT CATEGORY")] + [(f"c{i}", f"CAT {i}") for i in range(8)]
     rows["sellers"] = [("s_hot", "HOT", dt.date(2020, 1, 1))] + [
