@@ -5,31 +5,26 @@
   instant joined from a one-row static frame.
 * ``installment_priority_stream``: order snapshots joined with static
   per-order payment totals; stateless.
-* ``repeat_trigger_stream``: detractor reviews in, (customer, day) alerts out
-  when a customer reaches the threshold within the trailing window. State
-  per customer is a map day -> count covering at most ``window_days`` days
-  (bounded whatever the customer's volume); idle customers are dropped by an
-  event-time timeout once the watermark passes their last day + window.
-  Days are emitted when they arrive, so input should arrive in event-time
-  order per customer (late days still count towards later alerts).
+* ``start_repeat_trigger``: detractor reviews in, (customer, day) alerts out
+  when a customer reaches the threshold within the trailing window. Built-in
+  stateful operators only: detractors are counted per customer and day in a
+  watermarked aggregate, which emits a day once, when no more of it can come;
+  a stream-stream join then pairs the day with the customer's days of the
+  trailing window (at most ``window_days`` each, dropped when the watermark has
+  passed them). All partners of a day are final with it, so each micro-batch
+  holds complete sums. A day split over batches, rows out of order within the
+  watermark and restarts from the checkpoint all give the batch report's rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType, ArrayType
 
 from cxlens.plans.extensions import (ALERT_DAYS, COMPENSATE_DAYS, REPEAT_WINDOW_DAYS,
                                      delay_alerts)
 from cxlens.plans.order_view import order_columns
 
-DAY_MS = 86_400_000
-
 
 def delay_alert_stream(orders: DataFrame, as_of: DataFrame, alert_days: int = ALERT_DAYS,
                        compensate_days: int = COMPENSATE_DAYS) -> DataFrame:
@@ -53,56 +48,54 @@ def detractor_events(reviews: DataFrame, order_customers: DataFrame) -> DataFram
             .select("customer_unique_id", "review_created_ts"))
 
 
-def _trigger_fn(window_days: int, threshold: int):
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts: dict[int, int] = {}
-        if state.exists:
-            days, cnts = state.get
-            counts = dict(zip(days, cnts))
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        per_day = pd.concat(frames)["day"].value_counts().sort_index()
-        out = []
-        for day, n in per_day.items():
-            day = int(day)
-            counts[day] = counts.get(day, 0) + int(n)
-            trailing = sum(c for d, c in counts.items() if day - window_days < d <= day)
-            if trailing >= threshold:
-                out.append((key[0], day, trailing))
-        last = max(counts)
-        counts = {d: c for d, c in counts.items() if d > last - window_days}
-        state.update((list(counts.keys()), list(counts.values())))
-        state.setTimeoutTimestamp((last + window_days) * DAY_MS)
-        if out:
-            yield pd.DataFrame(out, columns=["customer_unique_id", "day", "detractor_reviews_12m"])
-    return fn
-
-
-def repeat_trigger_stream(events: DataFrame, window_days: int = REPEAT_WINDOW_DAYS,
-                          threshold: int = 2, watermark: str = "400 days") -> DataFrame:
-    """(customer_unique_id, review_created_ts) stream -> (customer, alert_date, count) alerts."""
-    key_type = events.schema["customer_unique_id"].dataType
-    out_schema = StructType([StructField("customer_unique_id", key_type),
-                             StructField("day", IntegerType()),
-                             StructField("detractor_reviews_12m", LongType())])
-    state_schema = StructType([StructField("days", ArrayType(IntegerType())),
-                               StructField("counts", ArrayType(LongType()))])
-    # Watermarks need a zoned timestamp; the calendar day comes from the
-    # zone-less value itself.
-    alerts = (events.filter(F.col("review_created_ts").isNotNull())
-              .withColumn("day", F.unix_date(F.to_date("review_created_ts")))
-              .withColumn("event_ts", F.col("review_created_ts").cast("timestamp"))
-              .withWatermark("event_ts", watermark)
-              .select("customer_unique_id", "day", "event_ts")
-              .groupBy("customer_unique_id")
-              .applyInPandasWithState(_trigger_fn(window_days, threshold), out_schema,
-                                      state_schema, "append", GroupStateTimeout.EventTimeTimeout))
-    return alerts.select("customer_unique_id", F.date_from_unix_date("day").alias("alert_date"),
-                         "detractor_reviews_12m")
+def daily_detractors(events: DataFrame, watermark: str) -> DataFrame:
+    """(customer_unique_id, day, n) of a (customer_unique_id, review_created_ts) stream, each day once."""
+    # Watermarks need a zoned timestamp; the session zone is UTC, so days keep their bounds.
+    daily = (events.filter(F.col("review_created_ts").isNotNull() & F.col("customer_unique_id").isNotNull())
+             .withColumn("event_ts", F.col("review_created_ts").cast("timestamp"))
+             .withWatermark("event_ts", watermark)
+             .groupBy("customer_unique_id", F.window("event_ts", "1 day").alias("w"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    return daily.select("customer_unique_id", F.window_time("w").alias("day"), "n")
+
+
+def repeat_pairs_stream(events: DataFrame, window_days: int = REPEAT_WINDOW_DAYS,
+                        watermark: str = "30 days") -> DataFrame:
+    """Each day of a customer with each of the customer's days in the trailing window.
+
+    The second side reads the stream again; both take their watermark from the
+    same rows.
+    """
+    days = daily_detractors(events, watermark)
+    left = days.toDF("customer", "day", "own")
+    right = days.toDF("other_customer", "other_day", "n")
+    return left.join(right, F.expr(f"""customer = other_customer AND other_day <= day
+        AND other_day > day - INTERVAL {window_days} DAYS""")).select("customer", "day", "n")
+
+
+def repeat_alerts(pairs: DataFrame, threshold: int = 2) -> DataFrame:
+    """Alerts of one micro-batch of pairs; it holds every partner of its days."""
+    return (pairs.groupBy("customer", "day").agg(F.sum("n").alias("detractor_reviews_12m"))
+            .filter(F.col("detractor_reviews_12m") >= threshold)
+            .select(F.col("customer").alias("customer_unique_id"), F.to_date("day").alias("alert_date"),
+                    "detractor_reviews_12m"))
+
+
+def start_repeat_trigger(events: DataFrame, path: str, name: str, window_days: int = REPEAT_WINDOW_DAYS,
+                         threshold: int = 2, watermark: str = "30 days", available_now: bool = False):
+    """Write the alerts of each micro-batch to ``path/batch=<id>``.
+
+    A batch that runs again after a failure replaces its own folder, so every
+    alert is there exactly once. The checkpoint lies under ``spark.checkpoint.dir``.
+    """
+    def write(pairs: DataFrame, batch: int) -> None:
+        repeat_alerts(pairs, threshold).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    from cxlens.session import ensure_checkpoint_dir
+    ckpt = f"{ensure_checkpoint_dir(events.sparkSession).rstrip('/')}/streams/{name}"
+    w = (repeat_pairs_stream(events, window_days, watermark).writeStream.outputMode("append").queryName(name)
+         .option("checkpointLocation", ckpt).foreachBatch(write))
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def start_parquet_sink(alerts: DataFrame, path: str, name: str,

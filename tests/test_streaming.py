@@ -1,5 +1,6 @@
 """Streaming alerts give the same rows as their batch reports."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from cxlens.plans import all_reports
 from cxlens.plans.order_view import payment_totals
 from cxlens.streaming import (delay_alert_stream, detractor_events, installment_priority_stream,
-                              repeat_trigger_stream, start_parquet_sink)
+                              start_parquet_sink, start_repeat_trigger)
 
 R = all_reports()
 
@@ -61,14 +62,56 @@ def test_installment_priority_stream_equals_batch(spark, fixture_tables):
     _same(_run(stream, root, "priority_out"), R["ext_installment_priority"].run(t))
 
 
+FLUSH = "2100-01-01"  # a day far ahead moves the watermark past everything before it
+
+
+def _repeat(spark, root, rows, restarts=False, **options):
+    """Alerts of (customer, day, day of arrival) rows, one file and micro-batch for each arrival."""
+    src, out, name = os.path.join(root, "src"), os.path.join(root, "out"), f"repeat-{os.path.basename(root)}"
+    arrivals = sorted({a for _, _, a in rows}) + ["flush"]
+    for i, a in enumerate(arrivals):
+        part = [(c, d) for c, d, x in rows if x == a] or [("nobody", FLUSH)]
+        (spark.createDataFrame(part, "customer_unique_id string, d string")
+         .selectExpr("customer_unique_id", "cast(d as timestamp_ntz) as review_created_ts")
+         .coalesce(1).write.mode("append").parquet(src))
+        if restarts or a == "flush":
+            events = (spark.readStream.schema("customer_unique_id string, review_created_ts timestamp_ntz")
+                      .option("maxFilesPerTrigger", 1).parquet(src))
+            q = start_repeat_trigger(events, out, name, available_now=True, **options)
+            q.awaitTermination()
+    return sorted((r[0], r[1], r[2]) for r in spark.read.parquet(out).select("customer_unique_id", "alert_date", "detractor_reviews_12m").collect())
+
+
+def _want(rows, window=365, threshold=2):
+    days = sorted({(c, dt.date.fromisoformat(d)) for c, d, _ in rows})
+    out = []
+    for c, day in days:
+        n = sum(x == c and 0 <= (day - dt.date.fromisoformat(d)).days < window for x, d, _ in rows)
+        if n >= threshold:
+            out.append((c, day, n))
+    return out
+
+
+def test_repeat_trigger_day_split_over_batches(spark):
+    rows = [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("a", "2024-01-01", 3), ("b", "2024-01-01", 1)]
+    assert _repeat(spark, _scratch(spark), rows) == _want(rows) == [("a", dt.date(2024, 1, 1), 3)]
+
+
+def test_repeat_trigger_out_of_order_and_restarts(spark):
+    rows = [("a", "2023-06-01", 1), ("a", "2024-05-10", 2), ("a", "2024-05-02", 3), ("a", "2024-05-29", 3),
+            ("b", "2024-05-05", 3), ("b", "2024-05-01", 4), ("c", "2024-05-20", 2), ("c", "2025-05-19", 5), ("c", "2025-05-20", 5)]
+    assert _repeat(spark, _scratch(spark), rows, restarts=True, watermark="60 days") == _want(rows)
+
+
 def test_repeat_trigger_stream_equals_batch(spark, fixture_tables):
     t = fixture_tables
     root = _scratch(spark)
-    reviews = _replay(spark, t.reviews, "review_created_ts", root)
-    order_customers = t.orders.join(t.customers, "customer_id").select("order_id",
-                                                                        "customer_unique_id")
-    stream = repeat_trigger_stream(detractor_events(reviews, order_customers))
-    _same(_run(stream, root, "repeat_out"), R["ext_repeat_trigger_12m"].run(t))
+    order_customers = t.orders.join(t.customers, "customer_id").select("order_id", "customer_unique_id")
+    rows = detractor_events(t.reviews, order_customers).filter("customer_unique_id is not null").collect()
+    rows = [(str(r[0]), str(r[1].date()), r[1].year) for r in rows]
+    got = _repeat(spark, root, rows)
+    want = R["ext_repeat_trigger_12m"].run(t).filter("customer_unique_id is not null").collect()
+    assert got == sorted((str(r[0]), r[1], r[2]) for r in want) and got
 
 
 def test_delay_alerts_parquet_sink(spark, fixture_tables):
