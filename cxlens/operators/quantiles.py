@@ -29,12 +29,12 @@ IMAGE_BITS = 46
 
 
 def exact_quantile(df: DataFrame, value: str | Column, q: float, upper: float | None = None,
-                   weight: str | None = None) -> float | None:
+                   weight: str | None = None, unit: float = 1.0) -> float | None:
     """The exact interpolated ``q`` quantile (NULLs ignored; None without values).
 
     Without ``upper`` the column holds integers of up to 64 bits, with it
     doubles between ``-upper`` and ``upper``. ``weight`` names a column that
-    says how often a row counts.
+    says how often a row counts; values count in ``1 / unit`` (100 for cents).
     """
     x = F.col(value) if isinstance(value, str) else value
     x = x.cast("bigint" if upper is None else "double")
@@ -59,7 +59,7 @@ def exact_quantile(df: DataFrame, value: str | Column, q: float, upper: float |
                 for rank, (b, before) in zip(ranks, held)]
         shift -= DIGIT
     rows = vals.filter(F.col("i").isin({b for b, _ in held})).select("x", "c", "i").collect()
-    v1, v2 = (float(_bucket(sorted((r["x"], r["c"]) for r in rows if r["i"] == b), rank, before)[0])
+    v1, v2 = (_bucket(sorted((r["x"], r["c"]) for r in rows if r["i"] == b), rank, before)[0] / unit
               for rank, (b, before) in zip(ranks, held))
     return v1 + (v2 - v1) * (position - ranks[0])
 

@@ -131,10 +131,10 @@ def dq_price_sanity(t: Tables) -> DataFrame:
         (F.min(cents) / 100.0).alias("min_price"), (F.max(cents) / 100.0).alias("max_price"),
         round_half(total.cast("double") / 100.0 / F.sum(F.when(cents.isNotNull(), c("n"))), 2).alias("avg_price"),
         (total.cast("double") / 100.0).alias("total_gmv"), F.sum("n").alias("total_items"))
-    # The median of a decimal is the midpoint of two prices, rounded half away from zero.
-    median = F.lit(exact_quantile(prices, cents, 0.5, weight="n")).cast("double")
+    # The median is the midpoint of two prices, in double, and then rounded.
+    median = F.lit(exact_quantile(prices, cents, 0.5, weight="n", unit=100.0)).cast("double")
     return stats.select("min_price", "max_price", "avg_price",
-                        (F.round(median, 0) / 100.0).alias("median_price"), "total_gmv", "total_items")
+                        round_half(median, 2).alias("median_price"), "total_gmv", "total_items")
 
 
 @report("dq_review_coverage")
