@@ -110,8 +110,8 @@ def _codes(texts: list[str], letter: np.ndarray):
     points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), np.uint32) for t in texts]
     row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
     c = letter[np.concatenate(points)].astype(np.int32)
-    keep = (c != 0) | (np.concatenate(([1], c[:-1])) != 0)
-    keep[0] = True
+    # One boundary for a run of them; each text keeps the one it begins with.
+    keep = (c != 0) | (np.concatenate(([1], c[:-1])) != 0) | (np.concatenate(([-1], row[:-1])) != row)
     has = np.zeros(len(texts), bool)
     has[row[c != 0]] = True
     c, row = c[keep], row[keep]

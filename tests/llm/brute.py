@@ -1,0 +1,103 @@
+"""Plain reference implementations, row by row, for small tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import xxhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def fingerprint(text, shingle=4):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i:i + shingle]) for i in range(len(words) - shingle + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(rows, distance=4):
+    """{(doc_id, fingerprint, component)} as a counter; ids may repeat or be None."""
+    fp = [fingerprint(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= distance]
+    comp = roots(len(rows), links)
+    low = {}
+    for (d, _), c in zip(rows, comp):
+        if d is not None:
+            low[c] = min(d, low.get(c, d))
+    return Counter((d, f"{f:016x}", low.get(c)) for (d, _), f, c in zip(rows, fp, comp))
+
+
+def removal(rows, depth=50):
+    """Counter of (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    def order(d):
+        return float("inf") if d is None else d
+    first, raws = {}, [(d, (t or "").encode()) for d, t in rows]
+    for d, r in raws:
+        for i in range(len(r) - depth + 1):
+            s = r[i:i + depth]
+            first[s] = min(order(d), first.get(s, order(d)))
+    out = Counter()
+    for d, r in raws:
+        keep, n, spans, end, before = bytearray(), 0, 0, 0, False
+        for i in range(len(r)):
+            if i + depth <= len(r) and first[r[i:i + depth]] < order(d):
+                end = i + depth
+            cut = i < end
+            n, spans = n + cut, spans + (cut and not before)
+            if not cut:
+                keep.append(r[i])
+            before = cut
+        out[d, len(r), n, spans, hashlib.sha256(bytes(keep)).hexdigest()] += 1
+    return out
+
+
+def quality(rows):
+    """{doc_id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)}."""
+    out = {}
+    for d, t in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        grams = defaultdict(list)
+        for i in range(len(w) - 2):
+            grams[tuple(w[i:i + 3])].append(i)
+        covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+        out[d] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered),
+                  len(w) < 50 or 100 * len(covered) > 50 * len(w))
+    return out
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def sha_ids(ids):
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def links(vectors, limit=0.95):
+    """{id: (n_links, component)} for valid unit vectors {id: row}."""
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = x @ x.T >= limit
+    comp = roots(len(ids), [(i, j) for i, j in zip(*np.nonzero(near)) if j < i])
+    return {i: (int(near[k].sum()) - 1, ids[comp[k]]) for k, i in enumerate(ids)}

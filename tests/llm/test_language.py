@@ -1,0 +1,83 @@
+"""String-kernel language identification."""
+
+import pickle
+
+import numpy as np
+
+from cxlens.llm import language_id as L
+from tests.llm import odd
+
+
+def labelled(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def test_held_out_accuracy(spark):
+    docs = labelled(spark)
+    got = L.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 200 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_fold(spark):
+    import zlib
+    got = {r["doc_id"]: r["held_out"] for r in L.language_report(labelled(spark)).collect()}
+    assert got == {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in got}
+
+
+def test_only_the_text_counts(spark):
+    docs = labelled(spark)
+    model = L.train(docs)
+    blind = docs.selectExpr("doc_id + 100000 as doc_id", "text")
+    a = {r["doc_id"]: r["lang_pred"] for r in L.language_report(docs, model).collect()}
+    b = {r["doc_id"] - 100000: r["lang_pred"] for r in L.language_report(blind, model).collect()}
+    assert a == b
+
+
+def test_odd_rows(spark):
+    model = L.train(labelled(spark))
+    df = odd.frame(spark)
+    got = L.language_report(df, model).collect()
+    assert len(got) == df.count()
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert by[4] == by[6] == by[7] == by[23] == ("und", 0.0) and by[1][0] != "und"
+    kept = L.keep_identified(df, 0.0, model)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({4, 5, 6, 7, 23})
+
+
+def test_no_labels_and_no_rows(spark):
+    df = odd.frame(spark).withColumn("lang", odd_null())
+    assert {r["lang_pred"] for r in L.language_report(df).collect()} == {"und"}
+    assert L.language_report(odd.frame(spark, [])).count() == 0
+
+
+def odd_null():
+    from pyspark.sql import functions as F
+    return F.lit(None).cast("string")
+
+
+def test_kernel_is_the_blended_spectrum():
+    texts = [("abc abd", "x"), ("abd bcd", "x"), ("zzz zyz abc", "y"), ("zyz zzy", "y")]
+    model = pickle.loads(pickle.dumps(L.fit(texts, landmarks_per_language=2)))
+    marks = [t for t, _ in sorted(texts, key=lambda x: x[1])]
+    got, _ = model.kernel(marks)
+
+    def grams(t, n):
+        t = " " + " ".join(t.split()) + " "
+        return {t[i:i + n] for i in range(len(t) - n + 1)}
+    known = [None] + [{g for g in set().union(*(grams(m, n) for m in marks)) if (n == 1 and g != " ") or (n > 1 and sum(g in grams(m, n) for m in marks) > 1)} for n in (1, 2, 3)]
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            want = sum(w * len(A & B) / max(1, len(A)) ** .5 / max(1, len(B)) ** .5 for n, w in zip((1, 2, 3), L.WEIGHTS)
+                       for A, B in [(grams(a, n) & known[n], grams(b, n) & known[n])])
+            assert np.isclose(got[i, j], want, atol=1e-5), (a, b)
+
+
+def test_blocks_do_not_change_results(monkeypatch):
+    texts = [("das ist ein Haus", "de"), ("der Hund und die Katze", "de"), ("this is a house", "en"), ("the dog and the cat", "en")] * 3
+    model = L.fit(texts)
+    want = model.predict([t for t, _ in texts])
+    monkeypatch.setattr(L, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(L, "BLOCK_CHARS", 20)
+    got = model.predict([t for t, _ in texts])
+    assert got[0] == want[0] and np.allclose(got[1], want[1])

@@ -1,0 +1,63 @@
+"""WARC archives: round trip, revisits, and faults."""
+
+import gzip
+import io
+
+import pytest
+
+from cxlens.llm import warc
+from cxlens.llm.common import scratch_path
+
+SCHEMA = "page_id long, url string, html string, digest string, r_page string"
+
+
+def pages(spark):
+    long = "<p>" + "long payload ü " * 20_000 + "</p>"
+    rows = [(1, "http://a/", "x" * 100), (2, "http://b/\r\nX-Evil: 1", "x" * 100), (3, None, "x" * 99), (4, "u", "x" * 99), (5, "u", None), (6, "u", ""),
+            (7, "u", long), (8, "u", long), (9, "u", "x" * 100), (9, "u", "x" * 100), (None, "u", "x" * 100), (10, "ü  v", "\r\n\r\n" * 60), (1, "u", "x" * 100)]
+    return rows, spark.createDataFrame([(*r, "d", "r") for r in rows], SCHEMA)
+
+
+def test_round_trip(spark):
+    rows, df = pages(spark)
+    manifest = warc.write_archives(df, scratch_path(spark, "t"), archive_bytes=500)
+    got = warc.read_archives(manifest).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        html = next((h or "").encode() for p, _, h in rows if p == r["page_id"])
+        assert r["payload_bytes"] == len(html) and r["payload_digest"] == __import__("hashlib").sha256(html).hexdigest()
+        assert (r["payload"] == html) if r["record_type"] == "response" else r["payload"] is None
+    kind = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
+    assert kind == {(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None),
+                    (7, "response", None), (8, "revisit", 7), (9, "revisit", 1), (None, "revisit", 1), (10, "response", None)}
+    assert {r["url"] for r in got if r["page_id"] == 2} == {"http://b/%0D%0AX-Evil:%201"}
+
+
+def test_round_trip_of_nothing(spark):
+    assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def read(data):
+    return [warc.read_record(m) for m in warc.members(io.BytesIO(data))]
+
+
+def test_each_record_is_one_gzip_member():
+    one, two = (warc.record(i, "u", b"payload" * i, None, "d") for i in (1, 20))
+    assert [h["warc-record-id"] for h, _ in read(one + two)] == ["<urn:x-page:1>", "<urn:x-page:20>"]
+    assert gzip.decompress(one).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+
+
+def test_faults_are_noticed():
+    good = warc.record(1, "u", b"payload", None, "d")
+    plain = gzip.decompress(good)
+    for bad in (good[:-10], good + b"rest", gzip.compress(plain.replace(b"payload", b"PAYLOAD")), gzip.compress(plain[:-1]),
+                gzip.compress(plain + b"x"), gzip.compress(b"no header")):
+        with pytest.raises(warc.WarcError):
+            read(bad)
+
+
+def test_large_records_in_small_reads(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    payload = bytes(range(256)) * 40
+    (headers, block), = read(warc.record(3, "u", payload, None, "d"))
+    assert warc.payload_of(headers, block) == (payload, len(payload))
