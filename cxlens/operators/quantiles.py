@@ -8,9 +8,9 @@ digit by digit: each round counts, in the buckets that hold a rank, the next
 ``DIGIT`` bits of the image, at most ``2 * 2**DIGIT`` rows, which go to the
 driver, and keeps the bucket of each rank. Digits have a fixed width, so an
 outlier cannot push all other values into one bucket; at most four rounds
-settle 64 bits. Values that share the last image (one, for integers) are
-ranked themselves, and the result is interpolated on the original values:
-``v1 + (v2 - v1) * frac``.
+settle 64 bits, and none is needed once the buckets that hold a rank have no
+more values than a round may count. Those values are ranked themselves, and
+the result is interpolated on them: ``v1 + (v2 - v1) * frac``.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def exact_quantile(df: DataFrame, value: str | Column, q: float, upper: float |
     vals = (df.select(x.alias("x"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("c"))
             .filter(F.col("x").isNotNull()).groupBy("x").agg(F.sum("c").alias("c")).select("x", "c", image.alias("i")))
     vals = written(vals, "quantile")
-    n, low, high = vals.agg(F.sum("c"), F.min("i"), F.max("i")).first()
+    n, low, high, distinct = vals.agg(F.sum("c"), F.min("i"), F.max("i"), F.count("*")).first()
     if not n:
         return None
     position = (n - 1) * q
@@ -50,23 +50,23 @@ def exact_quantile(df: DataFrame, value: str | Column, q: float, upper: float |
     shift = 0
     while shift < 64 - DIGIT and low >> shift + DIGIT != high >> shift + DIGIT:
         shift += DIGIT
-    held = [(None, 0), (None, 0)]  # for each rank its bucket and the number of values before it
-    while shift >= 0:
-        parent = F.shiftright("i", shift + DIGIT) if shift + DIGIT < 64 else F.lit(0)
-        rows = vals if held[0][0] is None else vals.filter(parent.isin({b for b, _ in held}))
-        counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("i", shift).alias("b")).agg(F.sum("c")).collect())
+    held, rows, width = [(None, 0), (None, 0)], vals, 64  # for each rank its bucket and the number of values before it
+    while shift >= 0 and distinct > 2 << DIGIT:
+        counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("i", shift).alias("b")).agg(F.sum("c"), F.count("*")).collect())
         held = [_bucket([c for c in counts if b is None or c[0] >> DIGIT == b], rank, before)
                 for rank, (b, before) in zip(ranks, held)]
+        buckets, width = {b for b, _ in held}, shift
+        rows, distinct = vals.filter(F.shiftright("i", shift).isin(buckets)), sum(c[2] for c in counts if c[0] in buckets)
         shift -= DIGIT
-    rows = vals.filter(F.col("i").isin({b for b, _ in held})).select("x", "c", "i").collect()
-    v1, v2 = (_bucket(sorted((r["x"], r["c"]) for r in rows if r["i"] == b), rank, before)[0] / unit
+    last = sorted((r["x"], r["c"], r["i"]) for r in rows.select("x", "c", "i").collect())
+    v1, v2 = (_bucket([v for v in last if b is None or v[2] >> width == b], rank, before)[0] / unit
               for rank, (b, before) in zip(ranks, held))
     return v1 + (v2 - v1) * (position - ranks[0])
 
 
 def _bucket(counts: list[tuple], rank: int, before: int) -> tuple:
     """The bucket that holds a rank, and the number of values before it."""
-    for bucket, c in counts:
+    for bucket, c, *_ in counts:
         if rank < before + c:
             return bucket, before
         before += c

