@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLOT_BITS = 28
+#: Bytes of text that a task works on at a time; its arrays take some ten times as much.
+PART_BYTES = 8 << 20
 #: Slots are gathered in chunks of ``2**CHUNK_BITS``; inside one a slot takes two bytes.
 CHUNK_BITS = 16
 
@@ -22,6 +25,18 @@ def slots(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SLOT_BITS)
 
 
+def parts(batch: pa.RecordBatch, column: int):
+    """Slices of a batch whose texts in ``column`` have about PART_BYTES (one row at least)."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < batch.num_rows:
+        begin = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + PART_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 class Bitmap:
     """One bit a slot. It travels compressed (few bits are set as a rule) and is unpacked once in each worker."""
 
@@ -44,12 +59,12 @@ class Bitmap:
 def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> Bitmap:
     """Bitmap of the slots met twice, or if ``tagged`` met with two different tags.
 
-    ``hashes(batch)`` gives for a batch of ``rows`` the hashes and their tags (or None).
+    ``rows`` has one column, a text; ``hashes(batch)`` gives the hashes of a batch and their tags (or None).
     """
     per = 1 << CHUNK_BITS
 
     def count(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole, 0)):
             h, tag = hashes(batch)
             slot = slots(h)
             if tagged:  # equal tags do not mark a slot
