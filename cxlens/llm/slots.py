@@ -56,9 +56,12 @@ class Bitmap:
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> Bitmap:
+def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False, many: int = 0):
     """Bitmap of the slots met twice, or if ``tagged`` met with two different tags.
 
+    With ``many`` (only if ``tagged``) also the sorted slots of the bitmap whose tags came in more than
+    so many rows, one for each tag and batch: at most one slot for every ``many`` rows.
+
     ``rows`` has one column, a text; ``hashes(batch)`` gives the hashes of a batch and their tags (or None).
     """
     per = 1 << CHUNK_BITS
@@ -83,31 +86,35 @@ def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False) -> Bitmap:
                 ["chunk", "met", "more"])
 
     def merge(batches):
-        now, seen, twice, tags = None, None, None, None
+        now, seen, twice, tags, n = None, None, None, None, None
         for batch in batches:
             for chunk, met, more in zip(*(x.to_pylist() for x in batch.columns)):
                 if chunk != now:
                     if now is not None:
-                        yield chunk_row(now, twice)
-                    now, seen, twice, tags = chunk, np.zeros(per, bool), np.zeros(per, bool), np.zeros(per, np.uint64)
+                        yield chunk_row(now, twice, n)
+                    now, seen, twice, tags, n = chunk, np.zeros(per, bool), np.zeros(per, bool), np.zeros(per, np.uint64), np.zeros(per, np.int64)
                 met, more = np.frombuffer(met, "<u2"), np.frombuffer(more, "<u8" if tagged else "<u2")
                 if tagged:
                     twice[met[seen[met] & (tags[met] != more)]] = True
                     twice[met[1:][met[1:] == met[:-1]]] = True  # two classes in one batch
                     tags[met] = more
+                    np.add.at(n, met, 1)
                 else:
                     twice[met[seen[met]]] = True
                     twice[more] = True
                 seen[met] = True
         if now is not None:
-            yield chunk_row(now, twice)
+            yield chunk_row(now, twice, n)
 
-    def chunk_row(c, twice):
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], ["chunk", "bits"])
+    def chunk_row(c, twice, n):
+        crowd = np.flatnonzero(twice & (n > many)).astype("<u2") if many else np.zeros(0, "<u2")
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()]), pa.array([crowd.tobytes()])],
+                                          ["chunk", "bits", "crowd"])
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = rows.mapInArrow(count, "chunk int, met binary, more binary").repartition(n, "chunk").sortWithinPartitions("chunk")
-    out = np.zeros(1 << SLOT_BITS - 3, np.uint8)
-    for c, bits in met.mapInArrow(merge, "chunk int, bits binary").collect():  # 2**SLOT_BITS bits at most
+    out, crowded = np.zeros(1 << SLOT_BITS - 3, np.uint8), [np.zeros(0, np.uint64)]
+    for c, bits, crowd in met.mapInArrow(merge, "chunk int, bits binary, crowd binary").collect():  # 2**SLOT_BITS bits at most
         out[c * per // 8:(c + 1) * per // 8] = np.frombuffer(bits, np.uint8)
-    return Bitmap(out)
+        crowded.append(np.frombuffer(crowd, "<u2").astype(np.uint64) + np.uint64(c * per))
+    return (Bitmap(out), np.sort(np.concatenate(crowded))) if many else Bitmap(out)

@@ -71,6 +71,38 @@ def test_removal_equals_brute_force(spark, depth):
     assert got == brute.removal(rows, depth)
 
 
+def test_no_task_holds_a_crowded_anchor(spark, monkeypatch):
+    real, most = suffix_dedup._classes, 40
+
+    def watched(depth):
+        inner = real(depth)
+
+        def run(batches):
+            met = Counter()
+
+            def seen():
+                for batch in batches:
+                    met.update(batch.column(0).to_pylist())
+                    assert max(met.values(), default=0) <= most
+                    yield batch
+            yield from inner(seen())
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", most, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_classes", watched)
+    rng = random.Random(8)
+    rows = [(i, f"{rng.getrandbits(200):x} {odd.PASSAGE} {rng.getrandbits(200):x}") for i in range(300)] + repeats()
+    got = Counter(map(tuple, suffix_dedup.removal_report(odd.frame(spark, rows)).collect()))
+    assert got == brute.removal(rows)
+
+
+def test_owner_runs_of_crowded_anchors(spark):
+    rows = [(1, 5, 9, "abcde"), (2, 3, 4, "xabcd"), (2, 6, 6, "xabcd"), (3, 5, 5, "zzz"), (4, 1, 1, "bcdy")]
+    df = spark.createDataFrame([(*r, w.encode()) for *r, w in rows], "cls long, lo long, hi long, span binary")
+    got = sorted(map(tuple, suffix_dedup.crowded_owners(df, 3).collect()))
+    assert got == [(1, 0, 0, 3), (1, 1, 1, 1), (1, 2, 2, 5), (2, 0, 1, 3), (2, 2, 2, 1), (4, 0, 0, 1)]
+
+
 def test_removal_of_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
