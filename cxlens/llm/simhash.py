@@ -14,8 +14,9 @@ prefix by prefix, before its full Hamming distance is taken.
 
 Equal keys meet in one task, sorted. Of the links found for a key only a
 spanning forest is passed on, so a large group of near copies costs as many
-rows as it has fingerprints, not pairs. Keys with more than ``TILE`` filed
-fingerprints are compared tile by tile in several tasks.
+rows as it has fingerprints, not pairs. The rows of each key are counted; a
+key with more than ``TILE`` is dealt into parts of a tile of filed and a tile
+of looked-up fingerprints, compared in several tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from cxlens.llm.common import components, written
 
 BITS, SEGMENTS, CHAIN = 64, 7, 3
-#: Fingerprints under one key that one task compares with one another.
+#: Rows under one key that one task compares with one another.
 TILE = 4096
 SEED = 42
 
@@ -131,25 +132,30 @@ def ring_distance(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int
 
 def _forest(links: np.ndarray) -> np.ndarray:
     """A spanning forest of the linked pairs (n, 2)."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    keep = []
-    for a, b in links.tolist():
-        u, v = root(a), root(b)
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            keep.append((a, b))
-    return np.array(keep, np.uint64).reshape(-1, 2)
-
-
-def linked_pairs(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, distance: int) -> np.ndarray:
-    """Links among rows sorted by key, reduced to a spanning forest for each key."""
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    links = links[links[:, 0] != links[:, 1]]
+    ids, at = np.unique(links, return_inverse=True)
+    ends, parent, keep = at.reshape(-1, 2), np.arange(len(ids)), []
+    rows = np.arange(len(links))
+    while len(rows):
+        # Each root that has smaller ones beside it moves to the smallest, by one link.
+        root = parent[ends[rows]]
+        low, high = root.min(axis=1), root.max(axis=1)
+        live = low != high
+        rows, low, high = rows[live], low[live], high[live]
+        order = np.lexsort((low, high))
+        high = high[order]
+        first = order[np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1]))[:len(high)])]
+        keep.append(rows[first])
+        parent[root.max(axis=1)[live][first]] = low[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return links[np.concatenate(keep)] if keep else links
+
+
+def linked_pairs(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, distance: int, part: np.ndarray | None = None) -> np.ndarray:
+    """Links among rows sorted by key (and part), reduced to a spanning forest for each."""
+    part = np.zeros(len(key), np.int64) if part is None else part
+    edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True])))
     n_filed = np.add.reduceat(filed.astype(np.int64), edge[:-1]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(edge)
     out, small = [], (n_filed > 0) & (size > 1) & (size <= 8)
@@ -176,6 +182,25 @@ def linked_pairs(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, distance: i
     return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp, filed) with their ``part``: 0, or for keys of more than TILE rows each pair of tiles.
+
+    There a filed row also is a looked-up one: it comes once for each tile of looked-up rows as filed,
+    and like every row once for each tile of filed ones as looked up.
+    """
+    sizes = rows.groupBy("key").agg(F.sum(F.col("filed").cast("long")).alias("x"), F.count("*").alias("y"))
+    sizes = written(sizes.where((F.col("x") > 0) & (F.col("y") > TILE)), "simhash-sizes")
+    if sizes.isEmpty():
+        return rows.select("key", "fp", "filed", F.lit(0).cast("long").alias("part"))
+    tiles = sizes.select("key", F.ceil(F.col("x") / TILE).alias("nx"), F.ceil(F.col("y") / TILE).alias("ny"))
+    of_x, of_y = (F.pmod(F.xxhash64("fp"), F.col(c)) for c in ("nx", "ny"))
+    as_x = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1), lambda j: F.struct(F.lit(True).alias("filed"), (of_x * F.col("ny") + j).alias("part")))
+    as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda i: F.struct(F.lit(False).alias("filed"), (i * F.col("ny") + of_y).alias("part")))
+    once = F.array(F.struct(F.col("filed"), F.lit(0).cast("long").alias("part")))
+    placed = F.when(F.col("nx").isNull(), once).when(F.col("filed"), F.concat(as_x, as_y)).otherwise(as_y)
+    return rows.join(tiles, "key", "left").select("key", "fp", F.explode(placed).alias("p")).select("key", "fp", "p.filed", "p.part")
+
+
 def link_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (long column fp), a spanning forest of them at least."""
     def file(batches):
@@ -188,11 +213,12 @@ def link_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
     def compare(batches):
         rest = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
-            # The last key may go on in the next batch.
+            # The last part of the last key may go on in the next batch.
             cut = int(np.searchsorted(now[0], now[0][-1]))
+            cut += int(np.searchsorted(now[3][cut:], now[3][-1]))
             rest = [x[cut:] for x in now]
             if cut:
                 yield _links([x[:cut] for x in now])
@@ -200,12 +226,12 @@ def link_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
             yield _links(rest)
 
     def _links(cols):
-        pairs = linked_pairs(cols[0].view(np.uint64), cols[1].view(np.uint64), cols[2], distance).view(np.int64)
+        pairs = linked_pairs(cols[0].view(np.uint64), cols[1].view(np.uint64), cols[2], distance, cols[3]).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(file, "key long, fp long, filed boolean")
+    rows = dealt(fps.select("fp").mapInArrow(file, "key long, fp long, filed boolean"))
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    links = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -53,6 +53,37 @@ def test_pigeonring_finds_every_pair(distance):
     assert (np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= distance).all()
 
 
+def test_large_keys_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 50)
+    rng = np.random.default_rng(9)
+    fp = np.unique(np.concatenate([rng.integers(0, 1 << 63, 200, dtype=np.uint64), np.uint64(5 << 60) + rng.integers(0, 1 << 12, 900, dtype=np.uint64)]))
+    links = simhash.link_fingerprints(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), 4)
+    links = [(int(np.int64(a).view(np.uint64)), int(np.int64(b).view(np.uint64))) for a, b in links.collect()]
+    at = {int(x): i for i, x in enumerate(fp)}
+    near = np.bitwise_count(fp[:, None] ^ fp) <= 4
+    assert all(near[at[a], at[b]] for a, b in links)
+    assert brute.roots(len(fp), [(at[a], at[b]) for a, b in links]) == brute.roots(len(fp), [(i, j) for i, j in zip(*np.nonzero(near)) if j < i])
+
+
+def test_parts_of_a_large_key_hold_a_tile_of_each_side(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 50)
+    rows = [(1, i, i % 4 == 0) for i in range(1000)] + [(2, i, True) for i in range(5)]
+    got = simhash.dealt(spark.createDataFrame(rows, "key long, fp long, filed boolean")).collect()
+    parts = Counter((r["key"], r["part"], r["filed"]) for r in got)
+    assert max(parts.values()) <= 2 * 50 and parts[2, 0, True] == 5
+    x, y = ({(r["fp"], r["part"]) for r in got if r["key"] == 1 and r["filed"] == side} for side in (True, False))
+    met = {(a, b) for p in {q for _, q in x} for a in [f for f, q in x if q == p] for b in [f for f, q in y if q == p]}
+    assert met == {(a, b) for a in range(0, 1000, 4) for b in range(1000)}
+
+
+def test_forest_of_dense_links():
+    rng = np.random.default_rng(6)
+    for n, m in ((50, 2000), (400, 300), (1, 0), (30, 5)):
+        links = rng.integers(0, n, (m, 2)).astype(np.uint64)
+        kept = simhash._forest(links)
+        assert brute.roots(n, kept.astype(int).tolist()) == (want := brute.roots(n, links.astype(int).tolist())) and len(kept) == n - len(set(want))
+
+
 def repeats():
     rng = random.Random(11)
     word = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta"]
