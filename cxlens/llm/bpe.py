@@ -64,7 +64,10 @@ class ByteBpe:
         """The ids of the tokenizers library without begin and end tokens; special strings count as special."""
         if text.isascii() or not _BEYOND_LATIN.search(text):
             if not self.has_special(text):
-                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), self.dtype)
+                try:
+                    return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), self.dtype)
+                except ValueError:  # its regex stack is too small for a blank run of about a million; the library has no such limit
+                    pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
     @functools.cached_property

@@ -184,3 +184,10 @@ def test_empty_tables(spark, tok):
     assert token_counts.token_counts(none, tok.path, 512).count() == 0
     assert bpe_codec.codec_report(none, tok.path).count() == 0
     assert packing.pack(none, tok.path, packing.Capacity(2048)).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_two_million_blanks(tok, blank):
+    """The fast path's regex gives up on such a run; the library does not."""
+    text = f"a{blank * 2_000_000}b"
+    assert tok.encode(text).tolist() == library_ids(tok, text)
