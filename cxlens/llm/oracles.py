@@ -5,6 +5,18 @@ from cxlens.llm.queries import SHARD_BYTES
 # Words are split at ASCII white space; a trailing or leading empty piece is no word.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+
+
+def _lower(text: str) -> str:
+    """Only A-Z lower-cased."""
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    """The fields of a document as they go into its leaf."""
+    return " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
+
+
 ORACLES = {
     "op4_extendible_sharding": f"""
 WITH k AS (
@@ -46,4 +58,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
             OR 2 * n_dup_lines > n_lines OR word_chars > 14 * n_words) AS kept
 FROM m""",
+    "op11_ranked_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE fixed AS (
+    SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, text,
+           sha256({_leaf('text')}) AS leaf,
+           coalesce(crc % 5 = 0, false) AS hit,
+           sha256({_leaf(_lower('text'))}) AS changed
+    FROM (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+              lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) AS crc
+          FROM documents)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM fixed),
+inner_nodes AS (
+    SELECT 0 AS lvl, g, i, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT lvl + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM inner_nodes WHERE n > 1 GROUP BY lvl, g, i // 16, n),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+    SELECT 0 AS lvl, i, n, h FROM subroots
+    UNION ALL
+    SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM outer_nodes WHERE n > 1 GROUP BY lvl, i // 16, n),
+beside AS (
+    SELECT lvl, g, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+    FROM (SELECT lvl, g, i, n, h FROM inner_nodes UNION ALL SELECT 1000 + lvl, NULL, i, n, h FROM outer_nodes) WHERE n > 1
+    WINDOW w AS (PARTITION BY lvl, g, i // 16 ORDER BY i)),
+low_walk AS (
+    SELECT g AS of, i AS leaf_i, 0 AS lvl, i, n, '' AS proof, CASE WHEN hit THEN changed ELSE leaf END AS h FROM leaves
+    UNION ALL
+    SELECT w.of, leaf_i, w.lvl + 1, w.i // 16, (n + 15) // 16, proof || a || b, sha256(a || h || b)
+    FROM low_walk w JOIN beside s ON s.lvl = w.lvl AND s.g = w.of AND s.i = w.i WHERE n > 1),
+high_walk AS (
+    SELECT w.of, leaf_i, 1000 AS lvl, s.i, s.n, proof, w.h FROM low_walk w JOIN subroots s ON s.g = w.of WHERE w.n = 1
+    UNION ALL
+    SELECT w.of, leaf_i, w.lvl + 1, w.i // 16, (n + 15) // 16, proof || a || b, sha256(a || h || b)
+    FROM high_walk w JOIN beside s ON s.lvl = w.lvl AND s.g IS NULL AND s.i = w.i WHERE n > 1)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM leaves l JOIN high_walk w ON w.of = l.g AND w.leaf_i = l.i AND w.n = 1 JOIN subroots s ON s.g = l.g, (SELECT h FROM outer_nodes WHERE n = 1) r""",
 }

@@ -15,6 +15,8 @@ TOKEN_LIMIT = 512
 SEQUENCE_TOKENS = 2048
 #: Length of a passage that counts as repeated.
 REPEAT_BYTES = 50
+#: Documents ranked for each benchmark item.
+TOP_DOCUMENTS = 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,6 +74,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.lexical import ranked_search
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=TOP_DOCUMENTS)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.merkle import tamper_report
+    return tamper_report(documents(spark, sf_dir))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cxlens.llm.secrets import secret_report
+    return secret_report(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_quality_rules, op10_language_id,
+    op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip, op4_extendible_sharding, op5_best_fit_packing, op6_warc, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_quality_rules, op10_language_id, op11_ranked_search, op12_merkle_manifest, op13_secret_scan,
 )}
