@@ -21,7 +21,7 @@ The streaming versions of the alerts live in ``cxlens.streaming``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import classify, ratio, round_half
@@ -36,6 +36,7 @@ PROBATION_RATE = 0.40
 WATCH_MARGIN = 0.05
 ALERT_DAYS = 2
 COMPENSATE_DAYS = 4
+MIN_INSTALLMENTS = 6
 REPEAT_WINDOW_DAYS = 365
 
 
@@ -115,19 +116,32 @@ def ext_repeat_trigger_12m(v: DataFrame, window_days: int = REPEAT_WINDOW_DAYS,
             .orderBy("alert_date", "customer_unique_id"))
 
 
+def is_live() -> Column:
+    return ~c("order_status").isin("canceled", "unavailable")
+
+
+def delay_level(overdue: Column, compensate_days: int) -> Column:
+    return F.when(overdue >= compensate_days, "compensate").otherwise("alert")
+
+
+def priority_row(orders: DataFrame) -> DataFrame:
+    """Order rows with ``max_installments`` as rows of the priority report."""
+    cols = order_columns()
+    return orders.select("order_id", "max_installments", "order_status",
+                         cols["delivery_bucket"].alias("delivery_bucket"), cols["is_late"].alias("is_late"))
+
+
 def delay_alerts(orders: DataFrame, as_of: DataFrame, alert_days: int = ALERT_DAYS,
                  compensate_days: int = COMPENSATE_DAYS) -> DataFrame:
     """Orders overdue by ``alert_days``+ as of the one-row ``as_of`` frame (column ``as_of``)."""
     delivered, est = c("delivered_customer_ts"), c("estimated_delivery_ts")
     overdue = F.datediff(F.coalesce(delivered, c("as_of")), est).cast("bigint")
-    live = ~c("order_status").isin("canceled", "unavailable")
-    return (orders.filter(est.isNotNull() & (delivered.isNotNull() | live))
+    return (orders.filter(est.isNotNull() & (delivered.isNotNull() | is_live()))
             .crossJoin(F.broadcast(as_of))
             .filter(overdue >= alert_days)
             .select("order_id", "estimated_delivery_ts", "delivered_customer_ts",
                     overdue.alias("overdue_days"),
-                    F.when(overdue >= compensate_days, "compensate").otherwise("alert")
-                    .alias("alert_level"),
+                    delay_level(overdue, compensate_days).alias("alert_level"),
                     delivered.isNull().cast("int").alias("is_open")))
 
 
@@ -139,13 +153,8 @@ def ext_delay_alerts(t: Tables) -> DataFrame:
 
 
 @report("ext_installment_priority")
-def ext_installment_priority(t: Tables, min_installments: int = 6) -> DataFrame:
-    cols = order_columns()
-    return (t.orders.join(payment_totals(t).filter(c("max_installments") >= min_installments),
-                          "order_id")
-            .select("order_id", "max_installments", "order_status",
-                    cols["delivery_bucket"].alias("delivery_bucket"),
-                    cols["is_late"].alias("is_late")))
+def ext_installment_priority(t: Tables, min_installments: int = MIN_INSTALLMENTS) -> DataFrame:
+    return priority_row(t.orders.join(payment_totals(t).filter(c("max_installments") >= min_installments), "order_id"))
 
 
 @report("payment_methods")
