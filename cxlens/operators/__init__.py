@@ -3,10 +3,11 @@
 from cxlens.operators.audit import fk_orphans, null_audit, row_counts
 from cxlens.operators.quantiles import exact_quantile
 from cxlens.operators.cohorts import with_quantile
+from cxlens.operators.joins import salted_left_join
 from cxlens.operators.rates import rate_table
 from cxlens.operators.sequences import first_event_then_next, event_sequence
 from cxlens.operators.shares import running_share, share_of_total
 
 __all__ = ["event_sequence", "exact_quantile", "first_event_then_next", "fk_orphans",
-           "null_audit", "rate_table", "row_counts", "running_share", "share_of_total",
+           "null_audit", "rate_table", "row_counts", "running_share", "salted_left_join", "share_of_total",
            "with_quantile"]
