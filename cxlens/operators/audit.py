@@ -34,3 +34,32 @@ def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
     counted = child.groupBy(F.col(child_key).alias("__fk")).agg(F.count(F.lit(1)).alias("__n"))
     orphans = counted.join(keys, F.col("__fk") == F.col("__pk"), "left_anti")
     return orphans.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias(out))
+
+
+def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, str, str, str, str]], label: str, out: str) -> DataFrame:
+    """Orphans of several edges (label, child, child key, parent, parent key), one row each in the given order.
+
+    Every table is read once: a child hands on (edge, key, count) rows for all its keys at a time, counted
+    before they are shuffled, the parents' keys are stacked, and one anti join finds what has no parent. A NULL key is an
+    orphan. Keys are compared as text.
+    """
+    parents = list(dict.fromkeys((parent, pk) for *_, parent, pk in edges))
+
+    def stacked(names: Sequence[tuple[int, str]], df: DataFrame) -> DataFrame:
+        one = F.array(*[F.struct(F.lit(no).alias("no"), F.col(col).cast("string").alias("key")) for no, col in names])
+        return df.select(F.explode(one).alias("x")).select("x.*")
+
+    children: dict[str, list[tuple[int, str]]] = {}
+    for no, (_, child, key, *_) in enumerate(edges):
+        children.setdefault(child, []).append((no, key))
+    keys: dict[str, list[tuple[int, str]]] = {}
+    for no, (parent, pk) in enumerate(parents):
+        keys.setdefault(parent, []).append((no, pk))
+    counts = reduce(DataFrame.unionByName, [stacked(names, tables[child]).groupBy("no", "key").agg(F.count(F.lit(1)).alias("n"))
+                                            for child, names in children.items()])
+    known = reduce(DataFrame.unionByName, [stacked(names, tables[parent]) for parent, names in keys.items()]).withColumnRenamed("no", "parent")
+    parent_of = F.get(F.array(*[F.lit(parents.index((parent, pk))) for *_, parent, pk in edges]), F.col("no"))
+    orphans = counts.withColumn("parent", parent_of).join(known, ["parent", "key"], "left_anti").groupBy("no").agg(F.sum("n").alias(out))
+    names = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(e[0]).alias(label)) for no, e in enumerate(edges)])
+    every = tables[edges[0][1]].sparkSession.range(1).select(F.explode(names).alias("x")).select("x.*")
+    return every.join(F.broadcast(orphans), "no", "left").orderBy("no").select(label, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))

@@ -9,6 +9,11 @@
   lets Spark insert a partial per-partition top-k before the shuffle
   (WindowGroupLimit), so a hot entity ships at most k rows per map task.
   The ordering is total (tie-break columns) so recomputation is stable.
+* ``next_event``: for every row the next event of its entity (an as-of join
+  that looks ahead). Times are cut into buckets: within a bucket a window finds
+  the next event, and a second window over one row per (entity, bucket) carries
+  the first event of the next bucket that has one back over the border. No task
+  holds more of an entity than a bucket of distinct times, or its buckets.
 """
 
 from __future__ import annotations
@@ -43,3 +48,25 @@ def event_sequence(df: DataFrame, entity: str, order_by: Sequence[str | Column],
     """Rows numbered 1.. within each entity in ``order_by`` order, keeping the first ``k``."""
     w = Window.partitionBy(entity).orderBy(*order_by)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+
+
+def next_event(rows: DataFrame, events: DataFrame, entity: str, ts: str, event_ts: str, out: str = "next_ts",
+               bucket_seconds: int = 86_400, strict: bool = True) -> DataFrame:
+    """``rows`` with ``out``, the time of the earliest event of the same entity after the row's time (``strict``: not at it).
+
+    ``events`` has the entity and ``event_ts``. Rows without an entity or time, or without a later event, get NULL; all rows
+    stay, repeated ones too. Choose ``bucket_seconds`` so that a bucket of one entity's distinct times fits a task.
+    """
+    e = F.col("_e")
+    points = (rows.select(entity, F.col(ts).alias("_t"), F.lit(0).alias("_e"))
+              .union(events.select(entity, F.col(event_ts).alias("_t"), F.lit(1).alias("_e")))
+              .filter(F.col(entity).isNotNull() & F.col("_t").isNotNull()).distinct()
+              .withColumn("_b", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (bucket_seconds * 1_000_000))))
+    # Backwards in time, a row sees the events passed so far; at equal times it comes before its event if strict.
+    back = Window.partitionBy(entity, "_b").orderBy(F.desc("_t"), F.asc("_e") if strict else F.desc("_e")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = points.withColumn("_in", F.min(F.when(e == 1, F.col("_t"))).over(back)).filter(e == 0).select(entity, "_t", "_b", "_in")
+    over = Window.partitionBy(entity).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    borders = (points.groupBy(entity, "_b").agg(F.min(F.when(e == 1, F.col("_t"))).alias("_first"))
+               .withColumn("_later", F.min("_first").over(over)).select(entity, "_b", "_later"))
+    found = inside.join(borders, [entity, "_b"]).select(F.col(entity).alias("_k"), "_t", F.coalesce("_in", "_later").alias(out))
+    return rows.join(found, (F.col(entity) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left").drop("_k", "_t")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.functions import pct, round_half, round_money
-from cxlens.operators import exact_quantile, fk_orphans, null_audit, row_counts, running_share, share_of_total
+from cxlens.operators import fk_audit, fk_orphans, null_audit, quantile_rows, row_counts, running_share, share_of_total
 from cxlens.plans.order_view import VIEW_COLUMNS
 from cxlens.plans.common import c
 from cxlens.plans.registry import report
-from cxlens.session import written
 from cxlens.sources.tables import TABLE_NAMES, Tables
 
 
@@ -110,31 +109,19 @@ FK_EDGES = [
 
 @report("dq_fk_integrity")
 def dq_fk_integrity(t: Tables) -> DataFrame:
-    parts = [fk_orphans(t[child], ck, t[parent], pk, "orphaned_records")
-             .select(F.lit(label).alias("relationship"), "orphaned_records")
-             for label, child, ck, parent, pk in FK_EDGES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return fk_audit(t, FK_EDGES, "relationship", "orphaned_records")
 
 
 @report("dq_price_sanity")
 def dq_price_sanity(t: Tables) -> DataFrame:
-    # One roll-up by price in cents; the totals and the median's digit rounds read it.
-    cents = F.col("cents")
-    prices = (t.order_items.groupBy((F.col("price") * 100).cast("bigint").alias("cents"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    prices = written(prices, "prices")
-    total = F.sum(cents.cast("decimal(38,0)") * c("n"))
-    stats = prices.agg(
-        (F.min(cents) / 100.0).alias("min_price"), (F.max(cents) / 100.0).alias("max_price"),
-        round_half(total.cast("double") / 100.0 / F.sum(F.when(cents.isNotNull(), c("n"))), 2).alias("avg_price"),
-        (total.cast("double") / 100.0).alias("total_gmv"), F.sum("n").alias("total_items"))
+    price, total = F.col("price"), F.sum("price").cast("double")
+    stats = t.order_items.agg(
+        F.min(price).cast("double").alias("min_price"), F.max(price).cast("double").alias("max_price"),
+        round_half(total / F.count(price), 2).alias("avg_price"), total.alias("total_gmv"), F.count(F.lit(1)).alias("total_items"))
     # The median is the midpoint of two prices, in double, and then rounded.
-    median = F.lit(exact_quantile(prices, cents, 0.5, weight="n", unit=100.0)).cast("double")
-    return stats.select("min_price", "max_price", "avg_price",
-                        round_half(median, 2).alias("median_price"), "total_gmv", "total_items")
+    median = quantile_rows(t.order_items, price, 0.5, out="median")
+    return stats.crossJoin(F.broadcast(median)).select("min_price", "max_price", "avg_price",
+                                                       round_half(F.col("median"), 2).alias("median_price"), "total_gmv", "total_items")
 
 
 @report("dq_review_coverage")

@@ -13,6 +13,10 @@
 * ``ext_delay_alerts``: orders at least 2 days past the estimate as of a
   date (compensation at 4+), open orders included.
 * ``ext_installment_priority``: 6+ installment orders with delivery state.
+* ``ext_price_p90_by_category``: the exact P90 of the first item's price, for every category.
+* ``ext_late_hotspots``: (category, state) pairs at or above twice the overall late rate.
+* ``ext_next_order_after_complaint``: for every complaint, the customer's next order.
+* ``ext_running_gmv``: orders and value up to every instant of purchase.
 * ``payment_methods``: payment types used per order.
 * ``ext_taxonomy_on_documents``: the keyword classifier on ``documents``.
 
@@ -24,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cxlens.functions import classify, ratio, round_half
-from cxlens.operators import rate_table, share_of_total, with_quantile
+from cxlens.functions import classify, day_diff, ratio, round_half
+from cxlens.operators import next_event, quantile_rows, rate_table, relative_hotspots, running_total, share_of_total, with_quantile
 from cxlens.plans.common import c, detractor, n_rows, reviewed
-from cxlens.plans.order_view import order_columns, payment_totals
+from cxlens.plans.order_view import order_columns, order_totals, payment_totals
 from cxlens.plans.registry import report
 from cxlens.plans.sellers import seller_rates
 from cxlens.sources.tables import Tables
@@ -157,6 +161,35 @@ def ext_installment_priority(t: Tables, min_installments: int = MIN_INSTALLMENTS
     return priority_row(t.orders.join(payment_totals(t).filter(c("max_installments") >= min_installments), "order_id"))
 
 
+@report("ext_price_p90_by_category", uses=["category_name", "item_price"])
+def ext_price_p90_by_category(v: DataFrame, q: float = 0.9) -> DataFrame:
+    p90 = quantile_rows(v, "item_price", q, ["category_name"], out="p90")
+    return p90.select("category_name", round_half(c("p90"), 2).alias("p90_price")).orderBy("category_name")
+
+
+@report("ext_late_hotspots", uses=["review_score", "is_late", "category_name", "customer_state", "is_detractor"])
+def ext_late_hotspots(v: DataFrame, min_rows: int = 30, factor: float = 2.0) -> DataFrame:
+    spots = relative_hotspots(v.filter(reviewed()), ["category_name", "customer_state"], "is_late", min_rows, factor, "reviewed_orders",
+                              [F.sum("is_detractor").alias("detractors")])
+    return spots.filter(c("cohort") == "hotspot").select(
+        "category_name", "customer_state", "reviewed_orders", "detractors", round_half(c("rate") * 100, 1).alias("late_rate_pct"),
+        round_half(c("overall_rate") * 100, 1).alias("overall_late_rate_pct"))
+
+
+@report("ext_next_order_after_complaint", uses=["customer_unique_id", "order_id", "review_id", "purchase_ts", "is_detractor"])
+def ext_next_order_after_complaint(v: DataFrame) -> DataFrame:
+    rows = next_event(v.filter(detractor()), v, "customer_unique_id", "purchase_ts", "purchase_ts", "next_order_ts")
+    return rows.select("customer_unique_id", "order_id", "review_id", "purchase_ts", "next_order_ts",
+                       day_diff("purchase_ts", "next_order_ts").alias("days_to_next_order"))
+
+
+@report("ext_running_gmv")
+def ext_running_gmv(t: Tables) -> DataFrame:
+    orders = t.orders.select("order_id", "purchase_ts").join(order_totals(t).select("order_id", "order_gmv"), "order_id", "left")
+    out = running_total(orders, "purchase_ts", {"orders": F.lit(1), "gmv": c("order_gmv")})
+    return out.select("purchase_ts", "orders", "running_orders", c("gmv").cast("double").alias("gmv"), c("running_gmv").cast("double").alias("running_gmv"))
+
+
 @report("payment_methods")
 def payment_methods(t: Tables) -> DataFrame:
     """Per order: how many payment types were used, with the installments and the amount."""

@@ -2,7 +2,7 @@
 
 Per-seller statistics are one partially aggregated group-by (a seller with
 a third of all rows is pre-reduced on every map task). The P90 threshold is
-found in distributed rounds over the seller rows.
+one row that the plan itself finds from the seller rows.
 Category and root-cause breakdowns aggregate view rows to (seller, key)
 first; seller totals are windows over that roll-up, never over raw rows.
 """
@@ -13,20 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.functions import ratio, round_half, round_money
-from cxlens.operators import rate_table, share_of_total, with_quantile
+from cxlens.operators import percentile_cohort, rate_table, share_of_total, with_quantile
 from cxlens.plans.common import avg2, c, money0, n_rows, pct_of, reviewed, sum_long
 from cxlens.plans.registry import report
 
 MIN_REVIEWED = 30
 QUANTILE = 0.90
+# The labels of sellers at or above the threshold, and of the others.
+COHORT_LABELS = ("problem_seller", "standard")
+
+
+def seller_money() -> list:
+    return [F.sum("order_gmv").alias("total_gmv"), F.sum(c("is_detractor") * c("order_gmv")).alias("detractor_gmv")]
 
 
 def seller_rates(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
     """Unrounded per-seller rates over reviewed rows (sellers with >= min_rows)."""
     return rate_table(v.filter(reviewed()), ["seller_id"], min_rows, "reviewed_orders", [
-        F.avg("is_detractor").alias("detractor_rate"),
-        F.sum("order_gmv").alias("total_gmv"),
-        F.sum(c("is_detractor") * c("order_gmv")).alias("detractor_gmv")])
+        F.avg("is_detractor").alias("detractor_rate"), *seller_money()])
 
 
 def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
@@ -63,23 +67,17 @@ def seller_overview(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
                                 "is_late"])
 def seller_flagged(v: DataFrame, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
     # This cohort ranks the *rounded* percentage.
-    stats = rate_table(v.filter(reviewed()), ["seller_id"], min_rows, "reviewed_orders", [
-        pct_of("is_detractor", "detractor_rate_pct"),
+    return percentile_cohort(v.filter(reviewed()), "seller_id", pct_of("is_detractor", "detractor_rate_pct"), q, min_rows, "reviewed_orders", [
         avg2("review_score", "avg_review_score"), money0(c("order_gmv"), "total_gmv"),
         money0(c("is_detractor") * c("order_gmv"), "detractor_gmv"),
-        pct_of("is_late", "late_rate_pct")])
-    flagged = with_quantile(stats, "detractor_rate_pct", q, "p90", upper=100.0).withColumn(
-        "cohort_flag", F.when(c("detractor_rate_pct") >= c("p90"), "problem_seller")
-        .otherwise("standard"))
-    return flagged.drop("p90").orderBy(F.desc("detractor_rate_pct"))
+        pct_of("is_late", "late_rate_pct")], COHORT_LABELS, "cohort_flag").orderBy(F.desc("detractor_rate_pct"))
 
 
 @report("seller_cohort_summary", uses=["review_score", "seller_id", "is_detractor", "order_gmv"])
 def seller_cohort_summary(v: DataFrame, min_rows: int = MIN_REVIEWED,
                           q: float = QUANTILE) -> DataFrame:
-    flagged = with_quantile(seller_rates(v, min_rows), "detractor_rate", q, "p90").withColumn(
-        "cohort_flag", F.when(c("detractor_rate") >= c("p90"), "problem_seller")
-        .otherwise("standard"))
+    flagged = percentile_cohort(v.filter(reviewed()), "seller_id", F.avg("is_detractor").alias("detractor_rate"), q, min_rows, "reviewed_orders",
+                                seller_money(), COHORT_LABELS, "cohort_flag")
     return (flagged.groupBy("cohort_flag").agg(
         n_rows("seller_count"), sum_long("reviewed_orders", "total_orders"),
         round_half(F.avg("detractor_rate") * 100, 1).alias("avg_detractor_rate_pct"),
