@@ -1,10 +1,10 @@
 """Per-entity event sequences without collecting an entity's rows in one place.
 
 * ``first_event_then_next``: first event time per entity, then the first
-  strictly later activity. The row side is salted with a fixed fan-out and the
-  firsts (one row per entity) are repeated for every salt, so a hot entity's
-  rows meet its first event in ``SALTS`` tasks; both minima are aggregated
-  before they are shuffled.
+  strictly later activity. The rows of entities with more than 1 / ``SALTS`` of
+  all rows are salted, and their first events repeated for each salt, so a hot
+  entity's rows meet it in several tasks; both minima are aggregated before
+  they are shuffled.
 * ``event_sequence``: the first ``k`` events per entity. ``row_number() <= k``
   lets Spark insert a partial per-partition top-k before the shuffle
   (WindowGroupLimit), so a hot entity ships at most k rows per map task.
@@ -23,7 +23,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tasks that share the rows of one entity.
+from cxlens.operators.joins import heavy_keys
+
+#: An entity with more than this share (1 / SALTS) of the rows is split.
 SALTS = 32
 
 
@@ -32,12 +34,15 @@ def first_event_then_next(df: DataFrame, entity: str, ts: str, is_event: Column,
                           salts: int = SALTS) -> DataFrame:
     """One row per entity with an event: first event time and first strictly later time."""
     firsts = df.filter(is_event).groupBy(entity).agg(F.min(ts).alias(event_out))
-    # The salt follows the row's time, so that a recomputed task deals out the same rows.
-    rows = df.select(entity, ts, F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int").alias("_salt"))
     # Times are collapsed first: an entity has as many rows as distinct times.
-    rows = rows.distinct()
-    every = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    later = (rows.join(every, [entity, "_salt"]).filter(F.col(ts) > F.col(event_out))
+    rows = df.select(entity, ts).distinct()
+    heavy = F.broadcast(heavy_keys(rows, entity, salts).withColumnRenamed(entity, "_heavy"))
+    fanout = F.coalesce("fanout", F.lit(1))
+    # The salt follows the row's time, so that a recomputed task deals out the same rows.
+    salted = rows.join(heavy, F.col(entity) == F.col("_heavy"), "left").select(entity, ts, F.pmod(F.xxhash64(ts), fanout).cast("int").alias("_salt"))
+    every = (firsts.join(heavy, F.col(entity) == F.col("_heavy"), "left")
+             .select(entity, event_out, F.explode(F.sequence(F.lit(0), fanout - 1)).alias("_salt")))
+    later = (salted.join(every, [entity, "_salt"]).filter(F.col(ts) > F.col(event_out))
              .groupBy(entity, "_salt").agg(F.min(ts).alias(next_out))
              .groupBy(entity).agg(F.min(next_out).alias(next_out)))
     return firsts.join(later, entity, "left")
