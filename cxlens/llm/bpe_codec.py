@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.llm.bpe import ByteBpe, bpe
-from cxlens.llm.slots import slot_bitmap
+from cxlens.llm.slots import slot_bitmap, slot_bits
 
 #: Bytes of a chunk: least, expected beyond the least, most. Rolling window.
 LEAST, MASK, MOST, ROLL = 64, 255, 2048, 16
@@ -151,7 +151,8 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
                 out += [_hash(raw[a:b]) >> 64 for a, b in zip([0, *ends], ends)]
         return np.array(out, np.uint64), None
 
-    shared = spark.sparkContext.broadcast(slot_bitmap(d.select("text"), hashes))
+    n_bytes = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast(slot_bitmap(d.select("text"), hashes, slot_bits(n_bytes // (LEAST + MASK))))
 
     def flagged(batch, at: int):
         """(row, text, [(a, b, hash)] of all chunks, whether each may be shared)."""

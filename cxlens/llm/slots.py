@@ -1,10 +1,11 @@
-"""Bitmaps of hash slots that occur twice: a first sieve of fixed size for things that repeat.
-
-The bitmap has ``2**SLOT_BITS`` bits whatever the corpus, so it may be sent to
-every executor. A hash that occurs twice always passes; one that does not may
-pass by chance and is found out later, by the exact step behind the sieve. On
-a corpus with very many hashes more of them pass by chance, which costs work
-and changes no result.
+"""Bitmaps of hash slots that occur twice: a first sieve of bounded size for things that repeat.
+
+The bitmap is sized for the hashes expected (``slot_bits``), up to
+``2**MAX_SLOT_BITS`` bits, so it may be sent to every executor. A hash that
+occurs twice always passes; one that does not may pass by chance and is found
+out later, by the exact step behind the sieve. Chance costs work and changes
+no result. A caller with more hashes than a bitmap can tell apart works in
+``ranges`` of them, one after the other, and the share of bits set stays low.
 """
 
 from __future__ import annotations
@@ -14,15 +15,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLOT_BITS = 28
+#: Bits of the largest bitmap (32 MB), as a power of two, and of the least.
+MAX_SLOT_BITS, LEAST_SLOT_BITS = 28, 20
 #: Bytes of text that a task works on at a time; its arrays take some ten times as much.
-PART_BYTES = 8 << 20
-#: Slots are gathered in chunks of ``2**CHUNK_BITS``; inside one a slot takes two bytes.
-CHUNK_BITS = 16
+PART_BYTES = 4 << 20
+#: Slots are gathered in ``2**CHUNKS`` chunks, so that rows grow with the texts alone; inside one a slot takes two bytes at most.
+CHUNKS = 12
+
+
+def slot_bits(hashes: int) -> int:
+    """Size of the bitmap for so many hashes: four slots each, within the bounds."""
+    return min(MAX_SLOT_BITS, max(LEAST_SLOT_BITS, (4 * hashes).bit_length()))
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - SLOT_BITS)
+def ranges(hashes: int) -> int:
+    """Ranges of hashes to work in, so that each has two slots of the largest bitmap.
+
+    Of n hashes in 2n slots, chance puts two into one slot for at most 9 % of the slots.
+    """
+    return max(1, -(-2 * hashes >> MAX_SLOT_BITS))
+
+
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> np.uint64(64 - bits)
 
 
 def parts(batch: pa.RecordBatch, column: int):
@@ -43,6 +58,13 @@ class Bitmap:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    @property
+    def slot_bits(self) -> int:
+        return (8 * len(self.bits)).bit_length() - 1
+
+    def share_set(self) -> float:
+        return int(np.bitwise_count(self.bits).sum(dtype=np.int64)) / (8 * len(self.bits))
+
     def __getstate__(self):
         import zstandard
         return zstandard.ZstdCompressor(level=1).compress(self.bits.tobytes())
@@ -52,11 +74,11 @@ class Bitmap:
         self.bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(state), np.uint8)
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        slot = slots(h)
+        slot = slots(h, self.slot_bits)
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False, many: int = 0):
+def slot_bitmap(rows: DataFrame, hashes, bits: int, tagged: bool = False, many: int = 0):
     """Bitmap of the slots met twice, or if ``tagged`` met with two different tags.
 
     With ``many`` (only if ``tagged``) also the sorted slots of the bitmap whose tags came in more than
@@ -64,12 +86,13 @@ def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False, many: int = 0):
 
     ``rows`` has one column, a text; ``hashes(batch)`` gives the hashes of a batch and their tags (or None).
     """
-    per = 1 << CHUNK_BITS
+    inner = bits - CHUNKS
+    per = 1 << inner
 
     def count(batches):
         for batch in (p for whole in batches for p in parts(whole, 0)):
             h, tag = hashes(batch)
-            slot = slots(h)
+            slot = slots(h, bits)
             if tagged:  # equal tags do not mark a slot
                 order = np.lexsort((tag, slot))
                 slot, tag = slot[order], tag[order].astype("<u8")
@@ -77,7 +100,7 @@ def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False, many: int = 0):
                 slot, tag = slot[new], tag[new]
             else:
                 slot, n = np.unique(slot, return_counts=True)
-            chunk, inside = (slot >> np.uint64(CHUNK_BITS)).astype(np.int32), (slot & np.uint64(per - 1)).astype("<u2")
+            chunk, inside = (slot >> np.uint64(inner)).astype(np.int32), (slot & np.uint64(per - 1)).astype("<u2")
             edge = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1], [True]))) if len(slot) else np.zeros(1, np.int64)
             spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
@@ -113,8 +136,8 @@ def slot_bitmap(rows: DataFrame, hashes, tagged: bool = False, many: int = 0):
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = rows.mapInArrow(count, "chunk int, met binary, more binary").repartition(n, "chunk").sortWithinPartitions("chunk")
-    out, crowded = np.zeros(1 << SLOT_BITS - 3, np.uint8), [np.zeros(0, np.uint64)]
-    for c, bits, crowd in met.mapInArrow(merge, "chunk int, bits binary, crowd binary").collect():  # 2**SLOT_BITS bits at most
-        out[c * per // 8:(c + 1) * per // 8] = np.frombuffer(bits, np.uint8)
+    out, crowded = np.zeros(1 << bits - 3, np.uint8), [np.zeros(0, np.uint64)]
+    for c, part, crowd in met.mapInArrow(merge, "chunk int, bits binary, crowd binary").collect():  # 2**bits bits at most
+        out[c * per // 8:(c + 1) * per // 8] = np.frombuffer(part, np.uint8)
         crowded.append(np.frombuffer(crowd, "<u2").astype(np.uint64) + np.uint64(c * per))
     return (Bitmap(out), np.sort(np.concatenate(crowded))) if many else Bitmap(out)
