@@ -1,13 +1,14 @@
 """Command line: load tables once, build the order view once, write reports.
 
     python -m cxlens load   --csv DIR | --fixture SF_DIR   --warehouse WH
-    python -m cxlens view   --warehouse WH
+    python -m cxlens view   --warehouse WH [--by-month | --incremental] [--salted]
     python -m cxlens report --warehouse WH [--out OUT] [--show] [NAME ...]
 
 Tables and the view are Parquet folders under the warehouse path (any file
 system Spark reads); report results go to ``OUT/<name>`` as Parquet. A load
 goes to a folder of its own and counts from when it is complete; the view lies
 beside the tables it was built from, so a new load never meets an old view.
+An incremental view lives in a store of the warehouse and is shared by its loads.
 The session is sized from the bytes at hand and the cores it has.
 """
 
@@ -46,7 +47,10 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("--warehouse", required=True)
     view = sub.add_parser("view")
     view.add_argument("--warehouse", required=True)
-    view.add_argument("--by-month", action="store_true")
+    how = view.add_mutually_exclusive_group()
+    how.add_argument("--by-month", action="store_true", help="one folder for each month")
+    how.add_argument("--incremental", action="store_true", help="rebuild only the months in which an order differs from the last incremental view")
+    view.add_argument("--salted", action="store_true", help="one order may have a large share of all reviews")
     rep = sub.add_parser("report")
     rep.add_argument("--warehouse", required=True)
     rep.add_argument("--out")
@@ -60,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from cxlens.plans import all_reports
     from cxlens.plans.order_view import materialize_order_view, read_order_view
+    from cxlens.plans.view_store import ViewStore
     from cxlens.sources import (derive_marketplace, load_csv_tables, read_parquet_tables,
                                 write_tables)
     from cxlens.sources.files import commit_set, fresh_folder, join_path, latest_set
@@ -83,9 +88,15 @@ def main(argv: list[str] | None = None) -> int:
     _sized(spark, tables_dir, args.cores)
     t = read_parquet_tables(spark, tables_dir)
     views = join_path(folder, "views")
+    store = ViewStore(spark, join_path(args.warehouse, "view-store"))
+    if args.cmd == "view" and args.incremental:
+        done = store.refresh(t)
+        print(f"rebuilt {len(done.rebuilt)} months, dropped {len(done.dropped)}")
+        commit_set(spark, join_path(folder, "complete-views"), done.folder)
+        return 0
     if args.cmd == "view":
         view_dir = fresh_folder(views)
-        materialize_order_view(t, view_dir, ("order_month",) if args.by_month else ())
+        materialize_order_view(t, view_dir, ("order_month",) if args.by_month else (), salted=args.salted)
         commit_set(spark, join_path(folder, "complete-views"), view_dir)
         return 0
     reports = all_reports()
@@ -94,7 +105,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"unknown reports: {unknown}", file=sys.stderr)
         return 2
     view_dir = latest_set(spark, join_path(folder, "complete-views"))
-    view_df = read_order_view(spark, view_dir) if view_dir else None
+    view_df = None
+    if view_dir:
+        view_df = store.read(view_dir) if view_dir.startswith(store.path + "/") else read_order_view(spark, view_dir)
     for name in args.names or sorted(reports):
         df = reports[name].run(t, view_df)
         if args.out:

@@ -68,19 +68,19 @@ class ViewStore:
     def _latest(self) -> str | None:
         return latest_set(self.spark, join_path(self.path, "log"))
 
-    def months(self) -> dict[str, str]:
-        """Month -> folder of its rows, in the set that counts."""
-        folder = self._latest()
+    def months(self, folder: str | None = None) -> dict[str, str]:
+        """Month -> folder of its rows, in the set that counts (or in ``folder``, an earlier one)."""
+        folder = folder or self._latest()
         if folder is None:
             return {}
         return {r["month"]: r["part"] for r in self.spark.read.parquet(join_path(folder, "months")).collect()}  # one row a month
 
-    def read(self) -> DataFrame:
-        """The view as of the last complete refresh."""
-        folder = self._latest()
+    def read(self, folder: str | None = None) -> DataFrame:
+        """The view as of the last complete refresh, or as of an earlier one by its set."""
+        folder = folder or self._latest()
         if folder is None:
             raise FileNotFoundError(f"{self.path} holds no complete view")
-        paths = sorted(join_path(part, f"month={m}") for m, part in self.months().items())
+        paths = sorted(join_path(part, f"month={m}") for m, part in self.months(folder).items())
         schema = self.spark.read.parquet(join_path(folder, "empty")).schema
         if not paths:
             return self.spark.createDataFrame([], schema)

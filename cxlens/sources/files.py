@@ -85,9 +85,9 @@ def load_csv_tables(spark: SparkSession, data_dir: str, schemas=None,
     return tables
 
 
-def write_tables(tables: Tables, path: str, mode: str = "overwrite",
+def write_tables(tables: Tables, path: str, mode: str = "errorifexists",
                  partition_by: dict | None = None, concurrent_jobs: int = 1) -> None:
-    """Create-or-replace every table as Parquet under ``path/<name>``.
+    """Write every table as Parquet under ``path/<name>``, a folder of its own (``replace_tables`` replaces).
 
     ``concurrent_jobs > 1`` submits the table writes as concurrent Spark jobs
     (small dimension writes then share the cluster with the large ones).
@@ -109,6 +109,26 @@ def write_tables(tables: Tables, path: str, mode: str = "overwrite",
             f.result()
 
 
+def replace_tables(tables: Tables, path: str, concurrent_jobs: int = 1) -> str:
+    """Create or replace all tables of ``path`` at once; returns their folder.
+
+    They are written beside the ones that count now and count from when all nine are complete, so a reader
+    (``read_tables``) sees the old tables or the new ones, and a failed write changes nothing. Tables may be replaced by what was read from them.
+    """
+    folder = fresh_folder(join_path(path, "sets"))
+    write_tables(tables, folder, concurrent_jobs=concurrent_jobs)
+    commit_set(next(iter(tables.values())).sparkSession, join_path(path, "log"), folder)
+    return folder
+
+
+def read_tables(spark: SparkSession, path: str) -> Tables:
+    """The tables that ``replace_tables`` completed last."""
+    folder = latest_set(spark, join_path(path, "log"))
+    if folder is None:
+        raise FileNotFoundError(f"{path} holds no complete tables")
+    return read_parquet_tables(spark, folder)
+
+
 def read_parquet_tables(spark: SparkSession, path: str) -> Tables:
     return Tables({n: spark.read.parquet(join_path(path, n)) for n in TABLE_NAMES})
 

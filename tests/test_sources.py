@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from cxlens.sources import SCHEMAS, TABLE_NAMES, load_csv_tables, read_csv_table
 from cxlens.sources.files import CsvLoadError, commit_set, latest_set, write_tables
@@ -116,6 +117,34 @@ def test_cli_load_view_report(spark, tmp_path, capsys, same_settings):
     assert len(shown) > 52  # every row, not the first fifty
 
 
+def test_cli_incremental_view(spark, tmp_path, capsys, same_settings):
+    from cxlens.__main__ import main
+    wh, out = str(tmp_path / "wh"), str(tmp_path / "out")
+    for turn in range(2):  # a second load of the same data rebuilds nothing
+        assert main(["--cores", "3", "load", "--fixture", "/root/testdata/sf0.001", "--warehouse", wh]) == 0
+        assert main(["view", "--warehouse", wh, "--incremental"]) == 0
+        assert ("rebuilt 0 months" in capsys.readouterr().out) == (turn == 1)
+        assert main(["report", "--warehouse", wh, "--out", f"{out}{turn}", "rc_distribution"]) == 0
+    a, b = (sorted(map(tuple, spark.read.parquet(f"{out}{k}/rc_distribution").collect())) for k in range(2))
+    assert a == b and a
+
+
+def test_tables_are_replaced_at_once(spark, fixture_tables, tmp_path):
+    from cxlens.sources import read_tables, replace_tables
+    path, t = str(tmp_path / "tables"), fixture_tables
+    with pytest.raises(FileNotFoundError):
+        read_tables(spark, path)
+    replace_tables(t, path, concurrent_jobs=4)
+    first = read_tables(spark, path)
+    n = first.orders.count()
+    with pytest.raises(Exception, match="no such orders"):
+        replace_tables(t.replace(reviews=t.reviews.withColumn("review_id", F.raise_error(F.lit("no such orders")))), path)
+    assert read_tables(spark, path).orders.count() == n
+    # Replaced by what is read from it, while a reader holds the old tables.
+    replace_tables(first.replace(orders=first.orders.limit(10)), path, concurrent_jobs=4)
+    assert (read_tables(spark, path).orders.count(), first.orders.count()) == (10, n)
+
+
 def test_reference_style_sql_on_registered_views(spark, fixture_tables):
     from cxlens.plans.order_view import register_views
     from cxlens.plans import all_reports
