@@ -10,10 +10,16 @@ the encoding by a fixed amount that stands on the transition; the amounts of a
 text add up to its token count. States are compiled when first reached and
 kept in a dense table.
 
-Texts run in chunks of ``CHUNK`` bytes, all in lock step. The map of a chunk
+Texts run in chunks of ``CHUNK`` bytes, all in lock step. What a chunk does
 from its first pre-token start on does not depend on the state before it; only
-its head does. Heads are resolved by composing the maps from left to right:
-each round gives all chunks whose predecessor is known their entry state.
+its head does. A chunk without any start has a state map, from the state that
+enters it to the one that leaves it. Maps are made for the states that can
+enter: the one that leaves the chunk before, where that is known, else those
+that the chunk before leaves when entered from the start or from states found
+so far; a token reaches back a few bytes only, so after a round or two no new
+state turns up. The maps of a run of such chunks compose through a prefix scan by
+pointer doubling, which gives every chunk its entry state; one more pass in
+lock step counts all heads.
 
 Encoding with merges is determined byte by byte: exactly one token can end the
 encoding of a prefix, the one whose predecessor token it does not merge with
@@ -36,6 +42,8 @@ CHUNK = 256
 #: The table is dropped and compiled anew beyond this many states, which bounds memory.
 MAX_STATES = 300_000
 START, UNKNOWN = 0, 1
+#: Rounds in which the maps may find new entry states; a run that needs more is resolved from left to right.
+MAP_ROUNDS = 8
 SHIFT, BIAS = 6, 32
 
 
@@ -117,6 +125,41 @@ class CountTransducer:
             entry = self.table[state, column]
         return entry
 
+    def _scan(self, whole: np.ndarray, state: np.ndarray, column: np.ndarray, byte: np.ndarray) -> None:
+        """Sets the state that leaves each of the chunks ``whole``, which have no start, by composing their maps.
+
+        A map is a set of rows (chunk, entry, exit); a row leads to the row of the next chunk that its exit enters.
+        """
+        if not len(whole):
+            return
+        is_whole = np.zeros(len(state) + 1, bool)
+        is_whole[whole] = True
+        first = ~is_whole[whole - 1]  # chunk 0 has a start
+        new = whole.astype(np.int64) << 32 | np.where(first, state[whole - 1], START)
+        begin, keys, exits = new[first], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _ in range(MAP_ROUNDS):
+            lane, now = new >> 32, (new & 0xFFFFFFFF).astype(np.int32)
+            for k in range(CHUNK):
+                now = self.step(now, column[k, lane], byte[k, lane]) >> SHIFT
+            order = np.argsort(np.concatenate((keys, new)), kind="stable")
+            keys, exits = np.concatenate((keys, new))[order], np.concatenate((exits, now))[order]
+            into = ((keys >> 32) + 1 << 32) | exits  # the row that each one leads to
+            inner = is_whole[(into >> 32)]
+            new = np.setdiff1d(into[inner], keys)
+            if not len(new):
+                break
+        at = np.searchsorted(keys, into)
+        there = inner & (np.append(keys, -1)[at] == into)
+        jump = np.append(np.where(there, at, len(keys)), len(keys))  # the last row is the end of a run
+        met = np.zeros(len(keys) + 1, bool)
+        met[np.searchsorted(keys, begin)] = True
+        reach = 1
+        while reach <= len(whole):
+            met[jump[np.flatnonzero(met)]] = True
+            jump, reach = jump[jump], 2 * reach
+        met = met[:-1]
+        state[keys[met] >> 32] = exits[met]
+
     def deltas(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Change of the token count at each byte."""
         if len(self.states) > self.max_states:
@@ -145,8 +188,9 @@ class CountTransducer:
             out[k] = (entry & (1 << SHIFT) - 1) - BIAS
         # Heads: bytes of a chunk before its first start, entered in the state its predecessor left.
         head = np.where(fresh.any(axis=0), fresh.argmax(axis=0), CHUNK)
+        self._scan(np.flatnonzero(head == CHUNK), state, column, byte)
         todo = np.flatnonzero(head > 0)
-        while len(todo):
+        while len(todo):  # one round, but for runs whose maps did not close
             ready = state[todo - 1] != UNKNOWN
             lanes, todo = todo[ready], todo[~ready]
             now = state[lanes - 1].copy()

@@ -191,3 +191,31 @@ def test_two_million_blanks(tok, blank):
     """The fast path's regex gives up on such a run; the library does not."""
     text = f"a{blank * 2_000_000}b"
     assert tok.encode(text).tolist() == library_ids(tok, text)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_state_maps_of_chunks_without_a_start(tok, monkeypatch, rounds):
+    """Runs of chunks inside one pre-token, with maps that close, do not close, or are not made."""
+    monkeypatch.setattr(token_counts, "CHUNK", 16)
+    monkeypatch.setattr(token_counts, "MAP_ROUNDS", max(1, rounds))
+    if not rounds:
+        monkeypatch.setattr(token_counts.CountTransducer, "_scan", lambda *a: None)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 900))) for _ in range(30)]
+    texts += ["the" * 200, "a" * 777, "ab " * 60 + "xyz" * 99, "9" * 500, "é" * 300, "漢" * 200, "", "b", " " * 300 + "c"]
+    machine = token_counts.CountTransducer(tok)
+    raw = [t.encode() for t in texts]
+    got = token_counts.count_batch(machine, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    assert got.tolist() == [len(library_ids(tok, t)) for t in texts]
+
+
+def test_a_pretoken_of_a_megabyte(tok, monkeypatch):
+    """Its chunks are mapped at once: the rounds do not grow with its length."""
+    rng = random.Random(7)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    machine, rounds = token_counts.CountTransducer(tok), []
+    step = machine.step
+    monkeypatch.setattr(machine, "step", lambda *a: rounds.append(len(a[0])) or step(*a))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert token_counts.count_batch(machine, raw, np.array([0, len(raw)])).tolist() == [len(library_ids(tok, text))]
+    assert len(rounds) < 12 * token_counts.CHUNK
