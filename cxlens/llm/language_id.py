@@ -9,7 +9,10 @@ the scores. A batch of texts is scored by matrix products: presence times
 landmarks, then times one matrix that holds the Nyström root and the weights.
 
 The model is fitted on a bounded sample of labelled rows, at most
-``SAMPLE_PER_LANGUAGE`` for each language, chosen by a hash of the id.
+``SAMPLE_PER_LANGUAGE`` for each language, chosen by a hash of the id. Every
+n-gram of a landmark is a feature and every letter of one is told apart, however
+many scripts there are. A letter that no landmark holds can be in no feature, so
+those are one symbol.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 40
 WEIGHTS = (0.2, 0.3, 0.5)
 RIDGE = 1e-3
-#: Letters told apart; all others are one more.
-LETTERS = 126
+#: Bits of an n-gram code up to which its feature is looked up in a table; wider ones are searched for.
+TABLE_BITS = 21
 UNDETERMINED = "und"
 #: Code points whose presence matrix is built at a time, and its rows.
 BLOCK_CHARS, BLOCK_ROWS = 1 << 20, 256
@@ -39,7 +42,7 @@ def held_out(key: str = "doc_id") -> Column:
 @dataclass
 class Model:
     languages: list[str]
-    letters: str                 # the letters told apart, in lower case
+    letters: str                 # the letters of the landmarks, in lower case
     features: list[np.ndarray]   # codes of the n-grams of each n, sorted
     landmarks: list[np.ndarray]  # presence of them, (landmark, feature) bool
     weights: np.ndarray          # (landmark, language)
@@ -56,9 +59,8 @@ class Model:
 
     def prepare(self):
         if self._ready is None:
-            table = [np.full(1 << 7 * n, -1, np.int32) for n in (1, 2, 3)]
-            for t, f in zip(table, self.features):
-                t[f] = np.arange(len(f))
+            width = _width(self.letters)
+            table = [_Numbers(f, n * width) for n, f in enumerate(self.features, 1)]
             scaled = [_scaled(x.astype(np.float32)) * w for x, w in zip(self.landmarks, WEIGHTS)]
             self._ready = _letter_table(self.letters), table, [x.T.copy() for x in scaled]
         return self._ready
@@ -72,10 +74,10 @@ class Model:
             b, n = a, 0
             while b < len(texts) and b - a < BLOCK_ROWS and (b == a or n + len(texts[b]) <= BLOCK_CHARS):
                 n, b = n + len(texts[b]), b + 1
-            codes, row, has[a:b] = _codes(texts[a:b], letter)
+            codes, row, has[a:b] = _codes(texts[a:b], letter, _width(self.letters))
             for grams, t, s in zip(codes, table, scaled):
                 present = np.zeros((b - a, s.shape[0]), np.float32)
-                f = t[grams]
+                f = t(grams)
                 ok = f >= 0
                 present[row[:len(f)][ok], f[ok]] = 1
                 out[a:b] += _scaled(present) @ s
@@ -93,30 +95,54 @@ class Model:
         return [self.languages[i] if h else UNDETERMINED for i, h in zip(best, has)], score
 
 
+class _Numbers:
+    """Number of each feature by its code; -1 for other codes."""
+
+    def __init__(self, features: np.ndarray, bits: int):
+        self.features, self.table = features, None
+        if bits <= TABLE_BITS:
+            self.table = np.full(1 << bits, -1, np.int32)
+            self.table[features] = np.arange(len(features))
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[codes]
+        if not len(self.features):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.features, codes), len(self.features) - 1)
+        return np.where(self.features[at] == codes, at, -1)
+
+
+def _width(letters: str) -> int:
+    """Bits of a letter in an n-gram code; there are fewer than 2**20 letters, so three fit."""
+    return max(7, (len(letters) + 1).bit_length())
+
+
 def _scaled(present: np.ndarray) -> np.ndarray:
     return present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
 
 
 def _letter_table(letters: str) -> np.ndarray:
-    """Number of each code point: 0 no letter, 1 a rare letter, from 2 on the letters told apart."""
-    table = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    """Number of each code point: 0 no letter, 1 another letter, from 2 on ``letters``."""
+    table = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), np.int32, sys.maxunicode + 1)
     for i, c in enumerate(letters):
         table[ord(c)] = i + 2
     return table
 
 
-def _codes(texts: list[str], letter: np.ndarray):
+def _codes(texts: list[str], letter: np.ndarray, width: int):
     """n-gram codes for n = 1, 2, 3 with the row of each place, and whether a text has a letter."""
     points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), np.uint32) for t in texts]
     row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
-    c = letter[np.concatenate(points)].astype(np.int32)
+    c = letter[np.concatenate(points)]
     # One boundary for a run of them; each text keeps the one it begins with.
     keep = (c != 0) | (np.concatenate(([1], c[:-1])) != 0) | (np.concatenate(([-1], row[:-1])) != row)
     has = np.zeros(len(texts), bool)
     has[row[c != 0]] = True
     c, row = c[keep], row[keep]
-    two = c[:-1] << 7 | c[1:]
-    three = two[:-1] << 7 | c[2:]
+    c = c.astype(np.int64) if 3 * width > 31 else c
+    two = c[:-1] << width | c[1:]
+    three = two[:-1] << width | c[2:]
     # A boundary alone says nothing; n-grams across two texts have it inside and are put to 0 too.
     two[row[1:] != row[:-1]] = 0
     three[row[2:] != row[:-2]] = 0
@@ -124,12 +150,28 @@ def _codes(texts: list[str], letter: np.ndarray):
 
 
 def sample_labelled(docs: DataFrame, per_language: int, text: str, label: str, key: str) -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, label) of each label from rows not held out, the smallest hashes of the id."""
+    """At most ``per_language`` (text, label) of each label from rows not held out, the smallest hashes of the id.
+
+    Of an id with several texts the least one counts. Rows are first thinned by a threshold on the hash, so that no task
+    ranks all ids of a label; it is lowered by the counts and raised again until every label has its rows.
+    """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & F.col(key).isNotNull())
+    known = known.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text"))
+    wanted = 4 * per_language + 200
+    low, scale = -(1 << 63), 1.0
+    sizes = known.groupBy("label").count()
+    while True:
+        share = F.least(F.lit(1.0), F.lit(wanted * scale) / F.col("count"))
+        few = known.select("key", "label", "h").join(F.broadcast(sizes), "label").where(F.col("h") <= low + share * 2.0 ** 64)
+        few = few.groupBy("key", "label", "h").agg(F.first(share).alias("share"))
+        got = few.groupBy("label").agg(F.count("*").alias("n"), F.min("share").alias("share"))
+        short = sizes.join(got, "label", "left").where((F.coalesce("n", F.lit(0)) < per_language) & (F.least(F.lit(1.0), F.lit(wanted * scale) / F.col("count")) < 1.0))
+        if short.isEmpty():
+            break
+        scale *= 8
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "key"))
-    ids = (known.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h")).distinct()
-           .withColumn("rank", rank).where(F.col("rank") <= per_language).select("key", "label"))  # bounded, so it may be broadcast
-    rows = known.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "key")
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("key", "label")  # bounded, so it may be broadcast
+    rows = known.join(F.broadcast(ids), ["key", "label"]).groupBy("key", "label").agg(F.min("text").alias("text"))
     return sorted({(r["text"], r["label"]) for r in rows.select("text", "label").collect()})
 
 
@@ -139,27 +181,17 @@ def fit(sample: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_P
     sample = [(t, lang) for t, lang in sample if any(plain[ord(c)] for c in t.lower())]
     languages = sorted({lang for _, lang in sample})
     marks = [t for lang in languages for t in [t for t, x in sample if x == lang][:landmarks_per_language]]
-    counts: dict[str, int] = {}
-    for t in marks:
-        for c in t.lower():
-            if plain[ord(c)]:
-                counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]))
+    letters = "".join(sorted({c for t in marks for c in t.lower() if plain[ord(c)]}))
     if not languages:
         return Model([], "", [np.zeros(0, np.int64)] * 3, [np.zeros((0, 0), bool)] * 3, np.zeros((0, 0)))
-    codes, row, _ = _codes(marks, _letter_table(letters))
+    codes, row, _ = _codes(marks, _letter_table(letters), _width(letters))
     features, presence = [], []
-    for n, grams in enumerate(codes, 1):
-        pairs = np.unique(row[:len(grams)].astype(np.int64) << 21 | grams)
-        pairs = pairs[pairs & (1 << 21) - 1 != 0]
-        gram, number, often = np.unique(pairs & (1 << 21) - 1, return_inverse=True, return_counts=True)
-        common = often > (1 if n > 1 else 0)  # an n-gram of one landmark alone tells nothing about others
-        new = np.cumsum(common) - 1
-        x = np.zeros((len(marks), int(common.sum())), bool)
-        on = common[number]
-        x[(pairs >> 21)[on], new[number[on]]] = True
-        features.append(gram[common])
-        presence.append(x)
+    for grams in codes:
+        gram, number = np.unique(grams, return_inverse=True)
+        x = np.zeros((len(marks), len(gram)), bool)
+        x[row[:len(grams)], number] = True
+        features.append(gram[gram != 0])  # 0 is the boundary alone
+        presence.append(x[:, gram != 0])
     model = Model(languages, letters, features, presence, np.zeros((len(marks), len(languages))))
     among = model.kernel(marks)[0].astype(np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
