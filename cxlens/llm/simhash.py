@@ -14,8 +14,10 @@ prefix by prefix, before its full Hamming distance is taken.
 
 Equal keys meet in one task, sorted. Of the links found for a key only a
 spanning forest is passed on, so a large group of near copies costs as many
-rows as it has fingerprints, not pairs. The rows of each key are counted; a
-key with more than ``TILE`` is dealt into parts of a tile of filed and a tile
+rows as it has fingerprints, not pairs. The filed rows of each key are counted:
+what is looked up under a key is filed under its flips, so the largest count
+bounds the rows of any key. If some key may have more than ``TILE``, all rows
+are counted, and such a key is dealt into parts of a tile of filed and a tile
 of looked-up fingerprints, compared in several tasks.
 """
 
@@ -107,6 +109,11 @@ def _keyed(distance: int):
     return flips
 
 
+def filed_keys(fp: np.ndarray) -> np.ndarray:
+    """The keys under which fingerprints are filed, for each start after the other."""
+    return np.concatenate([c * np.uint64(SEGMENTS) + np.uint64(i) for i, c in enumerate(_chains(fp))])
+
+
 def keys_of(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, fingerprint, filed) rows: exact chains are filed, flipped ones are looked up."""
     keys, owners, filed = [], [], []
@@ -130,7 +137,7 @@ def ring_distance(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int
     return ok
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
+def spanning_forest(links: np.ndarray) -> np.ndarray:
     """A spanning forest of the linked pairs (n, 2)."""
     links = links[links[:, 0] != links[:, 1]]
     ids, at = np.unique(links, return_inverse=True)
@@ -177,7 +184,7 @@ def linked_pairs(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, distance: i
             ok = (i != j)
             i, j = i[ok], j[ok]
             ok = ring_distance(i, j, np.full(len(i), start), distance)
-            found = [_forest(np.concatenate((*found, np.stack((i[ok], j[ok]), axis=1))))]
+            found = [spanning_forest(np.concatenate((*found, np.stack((i[ok], j[ok]), axis=1))))]
         out += found
     return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
 
@@ -229,8 +236,18 @@ def link_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
         pairs = linked_pairs(cols[0].view(np.uint64), cols[1].view(np.uint64), cols[2], distance, cols[3]).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = dealt(fps.select("fp").mapInArrow(file, "key long, fp long, filed boolean"))
+    def exact(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(filed_keys(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["key"])
+
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fps = written(fps.select("fp"), "simhash-classes").repartition(n, "fp")  # few bytes, but 126 rows each: spread over all tasks
+    rows = fps.mapInArrow(file, "key long, fp long, filed boolean")
+    most = fps.mapInArrow(exact, "key long").groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if most * max(map(len, _keyed(distance))) > TILE:
+        rows = dealt(rows)
+    else:
+        rows = rows.select("key", "fp", "filed", F.lit(0).cast("long").alias("part"))
     links = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
