@@ -3,20 +3,24 @@
 Vectors go to the shards of their ``OVERLAP`` nearest centroids (fitted on a
 bounded sample). Within a shard each vector keeps the neighbours that robust
 pruning leaves of its nearest ones; the adjacency lists of all shards are
-united into one flat graph. Every vector is then a query: a greedy search with
-a beam, started at medoids of the shard (and at the vector itself where the
-graph has it), walks the united graph; once the beam holds a vector within
-range, the search expands through everything in range until nothing new turns
-up. What it finds is verified by the cosine in double precision. An audit
-compares a sample of queries with brute force over all vectors; while its
-recall is under the target, the overlap and the beam are widened and the search is run
-again, at last over all shards.
-
-A shard with more than ``BLOCK`` vectors (a large group of near copies, say)
-is split into blocks; queries meet each block in a tile of their own, so no
-task holds more than two blocks. A link is counted only in the first shard that both
-ends share, so the counts need no list of links, and each tile passes on a
-spanning forest of its links, not the pairs.
+united into one flat graph. Every vector is then a query in each of its
+shards: a greedy search with a beam, started at medoids of the shard (and at
+the vector itself), walks the part of the united graph whose ends lie in that
+shard, edges that other shards found included; once the beam holds a vector
+within range, the search expands through everything in range until nothing new
+turns up. What it finds is verified by the cosine in double precision.
+
+Verified links join vectors to components. The links of a vector are then
+counted within its component, all of it, in tiles: a link counts at both ends
+and once, whichever shards or directions found it, and one that the search
+reached only by a detour counts as well. An audit compares a sample of queries with
+brute force over all vectors; while the mean recall of those that have a link is under the target, the overlap and the beam are
+widened and the search is run again, at last over all shards.
+
+A shard or a component with more than ``BLOCK`` vectors (a large group of near
+copies, say) is split into blocks; queries meet each block in a tile of their
+own, so no task holds more than two blocks. Each tile passes on a spanning
+forest of its links, not the pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cxlens.llm.common import components, written
+from cxlens.llm.simhash import spanning_forest
 
 SAMPLE, AUDIT = 8192, 1024
 SHARD, BLOCK = 1500, 4000
@@ -90,23 +95,6 @@ def robust_prune(x: np.ndarray) -> list[tuple[int, int]]:
     return np.concatenate(out).tolist() if out else []
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    keep = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        u, v = root(x), root(y)
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            keep.append((x, y))
-    return keep
-
-
 def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, own: np.ndarray, limit: float, beam: int):
     """(query, row) pairs within ``limit``, by greedy search and range expansion over padded adjacency (-1: none)."""
     n, q = len(x), len(queries)
@@ -202,6 +190,33 @@ def _lists(table: pa.Table, k: int) -> np.ndarray:
     return _matrix(pa.concat_arrays(table.column(k).chunks))
 
 
+def in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """Members with ``block``, one of the ``blocks`` of at most about BLOCK members that their group is dealt into."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
+
+
+def in_tiles(members: DataFrame, group: str, columns: list[str], of_index: dict[str, str]) -> DataFrame:
+    """(group, block, tile, role, vec, columns): in each pair of a group's blocks the index rows (role 0) of one and the queries (role 1) of the other.
+
+    ``of_index``: further columns with their types that only index rows carry.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    index = members.select(group, "block", every.alias("tile"), F.lit(0).alias("role"), "vec", *columns, *of_index)
+    query = members.select(group, every.alias("block"), F.col("block").alias("tile"), F.lit(1).alias("role"), "vec", *columns,
+                           *[F.lit(None).cast(k).alias(c) for c, k in of_index.items()])
+    return index.union(query)
+
+
+def cosines(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """(a, b) cosines of unit rows. The last bits of a matrix product depend on its shape, so pairs next to the limit are summed again as ``range_search`` does."""
+    s = a @ b.T
+    i, j = np.nonzero(np.abs(s - limit) < 1e-12)
+    if len(i):
+        s[i, j] = np.einsum("ij,ij->i", a[i], b[j])
+    return s
+
+
 class Search:
     """The graph search over distinct vectors: vec (a long id), e (array of double) and copies (their number)."""
 
@@ -230,13 +245,11 @@ class Search:
 
         return self.vectors.select("vec", "e", "copies").mapInArrow(near, "vec long, e array<double>, copies long, shards array<int>")
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(links of each vector: vec, n), (a, b) spanning links; both over distinct vectors."""
+    def run(self) -> DataFrame:
+        """(a, b) verified links over distinct vectors that span what the search connects."""
         limit, beam = self.limit, self.beam
         placed = written(self.assigned(), "ann-assigned")
-        members = placed.select(F.explode("shards").alias("shard"), "vec", "e", "copies", "shards")
-        sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        members = members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
+        members = in_blocks(placed.select(F.explode("shards").alias("shard"), "vec", "e"), "shard")
 
         def build(batches):
             for t in _by_group(batches, 2):
@@ -249,20 +262,15 @@ class Search:
         both = edges.union(edges.select("b", "a")).toDF("a", "b").distinct()
         lists = both.groupBy("a").agg(F.collect_list("b").alias("adjacent"))
         indexed = members.join(lists, members.vec == lists.a, "left")
-        role = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        index = indexed.select("shard", "block", role.alias("tile"), F.lit(0).alias("role"), "vec", "e", "shards", "adjacent", "copies")
-        query = members.select("shard", role.alias("block"), F.col("block").alias("tile"), F.lit(1).alias("role"), "vec", "e", "shards",
-                               F.lit(None).cast("array<bigint>").alias("adjacent"), "copies")
-        tiles = index.union(query)
+        tiles = in_tiles(indexed.select("shard", "block", "blocks", "vec", "e", "adjacent"), "shard", ["e"], {"adjacent": "array<bigint>"})
 
         def search(batches):
             for t in _by_group(batches, 3):
-                shard, role, vec = t.column(0)[0].as_py(), t.column(3).to_numpy(), t.column(4).to_numpy()
-                x, shards, copies = unit(_lists(t, 5)), _lists(t, 6), t.column(8).to_numpy()
+                role, vec, x = t.column(3).to_numpy(), t.column(4).to_numpy(), unit(_lists(t, 5))
                 ix, qx = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
                 order = ix[np.argsort(vec[ix], kind="stable")]
                 ids = vec[order]
-                lists = pa.concat_arrays(t.column(7).chunks).take(pa.array(order))
+                lists = pa.concat_arrays(t.column(6).chunks).take(pa.array(order))
                 sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 at = np.searchsorted(ids, flat)
@@ -272,36 +280,42 @@ class Search:
                 degree = np.bincount(row, minlength=len(ids))
                 adjacent = np.full((len(ids), max(1, int(degree.max(initial=0)))), -1, np.int64)
                 adjacent[row, np.arange(len(row)) - np.repeat(np.cumsum(degree) - degree, degree)] = at
-                found_q, found_v, n = [], [], np.zeros(len(qx), np.int64)
+                links = np.zeros((0, 2), np.int64)
                 for a in range(0, len(qx), 1024):
                     part = qx[a:a + 1024]
                     own = np.searchsorted(ids, vec[part])
                     own = np.where((own < len(ids)) & (ids[np.minimum(own, max(0, len(ids) - 1))] == vec[part]), own, -1)
                     i, r = range_search(x[order], adjacent, x[part], own, limit, beam)
-                    other = vec[part][i] != ids[r]
-                    i, r = i[other], r[other]
-                    # The first shard both share counts the link.
-                    mine, theirs = shards[part][i], shards[order][r]
-                    first = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
-                    np.add.at(n, a + i[first == shard], copies[order][r[first == shard]])
-                    forest = np.array(_forest(vec[part][i], ids[r]), np.int64).reshape(-1, 2)
-                    found_q.append(forest[:, 0])
-                    found_v.append(forest[:, 1])
-                q, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (found_q, found_v))
-                pairs = np.array(_forest(q, v), np.int64).reshape(-1, 2)
-                on = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((vec[qx][on], pairs[:, 0]))), pa.array(np.concatenate((n[on], np.zeros(len(pairs), np.int64)))),
-                     pa.array(np.concatenate((np.full(len(on), -1), pairs[:, 1])))], ["vec", "n", "other"])
+                    links = spanning_forest(np.concatenate((links, np.stack((vec[part][i], ids[r]), axis=1))))
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+        return written(tiles.repartition(self.parts, "shard", "block", "tile").sortWithinPartitions("shard", "block", "tile", "role", "vec")
+                       .mapInArrow(search, "a long, b long"), "ann-links")
+
+    def link_counts(self, label: DataFrame) -> DataFrame:
+        """(vec, n): the vectors within range of each one in its component, copies counted; ``label``: vec and comp of linked vectors."""
+        limit = self.limit
+        members = in_blocks(self.vectors.join(label, "vec").select("comp", "vec", "e", "copies"), "comp")
+        tiles = in_tiles(members, "comp", ["e", "copies"], {})
+
+        def count(batches):
+            for t in _by_group(batches, 3):
+                role, vec, x, copies = t.column(3).to_numpy(), t.column(4).to_numpy(), unit(_lists(t, 5)), t.column(6).to_numpy()
+                ix, qx, n = np.flatnonzero(role == 0), np.flatnonzero(role == 1), []
+                for a in range(0, len(qx), 1024):
+                    part = qx[a:a + 1024]
+                    # Sums in one order whatever the place, as the search has them: both ends of a link see one cosine.
+                    near = np.concatenate([cosines(x[part], x[ix[c:c + 1024]], limit) >= limit for c in range(0, len(ix), 1024)], axis=1)
+                    n.append((near & (vec[part][:, None] != vec[ix])) @ copies[ix])
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(vec[qx]), pa.array(np.concatenate(n))], ["vec", "n"])
 
-        out = (tiles.repartition(self.parts, "shard", "block", "tile").sortWithinPartitions("shard", "block", "tile", "role", "vec")
-               .mapInArrow(search, "vec long, n long, other long"))
-        out = written(out, "ann-links")
-        counts = out.where("n > 0").groupBy("vec").agg(F.sum("n").alias("n"))
-        return counts, out.where("n = 0").select(F.col("vec").alias("a"), F.col("other").alias("b"))
+        rows = (tiles.repartition(self.parts, "comp", "block", "tile").sortWithinPartitions("comp", "block", "tile", "role", "vec")
+                .mapInArrow(count, "vec long, n long"))
+        return written(rows.groupBy("vec").agg(F.sum("n").alias("n")), "ann-counts")
 
     def recall(self, counts: DataFrame) -> float:
-        """Links found over links there are, for a sample of queries against all vectors; 1 if they have none."""
+        """Mean share of its links that a query has, over those of a sample that have any by brute force; 1 if none has."""
         rows = self.vectors.orderBy(F.xxhash64("vec", F.lit(1)), "vec").limit(AUDIT).collect()
         ids, q = np.array([r["vec"] for r in rows], np.int64), unit(np.array([r["e"] for r in rows], np.float64))
         limit = self.limit
@@ -313,49 +327,51 @@ class Search:
                 vec, x, copies = batch.column(0).to_numpy(), unit(_matrix(batch.column(1))), batch.column(2).to_numpy()
                 n = np.zeros(len(ids), np.int64)
                 for a in range(0, len(x), 4096):
-                    near = (q @ x[a:a + 4096].T >= limit) & (ids[:, None] != vec[None, a:a + 4096])
+                    near = (cosines(q, x[a:a + 4096], limit) >= limit) & (ids[:, None] != vec[None, a:a + 4096])
                     n += near @ copies[a:a + 4096]
                 on = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(n[on])], ["vec", "n"])
 
         true = self.vectors.select("vec", "e", "copies").mapInArrow(brute, "vec long, n long").groupBy("vec").agg(F.sum("n").alias("true"))
-        r = true.join(counts, "vec", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-        return 1.0 if not r[0] else r[1] / r[0]
+        share = F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")
+        mean = true.join(counts, "vec", "left").agg(F.avg(share)).first()[0]
+        return 1.0 if mean is None else mean
 
 
-def near_duplicates(vectors: DataFrame, limit: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id, kept.
-
-    Vectors that are null, empty, zero, of another length than most, or hold null or
-    non-finite components link with nothing (n_links 0, component_id the own
-    id). Equal vectors are one while searching and count as many. Repeated ids
-    are rows of their own; a null id is its own component unless linked. An
-    empty table gives an empty result; other columns are not read.
-    """
-    v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
-    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    valid = F.coalesce(~bad & F.exists("e", lambda x: x != 0), F.lit(False))
-    v = written(v.select("vec_id", F.when(valid, F.col("e")).alias("e"), F.when(valid, F.size("e")).alias("size")), "ann-vectors")
-    size = v.where("size is not null").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if size is None:
-        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = v.where(F.col("size") == size["size"])
+def _of_one_size(good: DataFrame, limit: float) -> DataFrame:
+    """vec_id, n_links, component_id of valid vectors (vec_id, e) of one length."""
     classes = good.groupBy("e").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("vec", F.monotonically_increasing_id()), "ann-classes")
     overlap, beam = OVERLAP, BEAM
     while True:
         search = Search(classes, limit, overlap, beam)
-        counts, links = search.run()
+        joined = written(components(search.run(), "ann").toDF("vec", "comp"), "ann-joined")
+        counts = search.link_counts(joined)
         if search.recall(counts) >= MIN_RECALL or search.overlap == len(search.centres) and beam >= search.n:
             break
         overlap, beam = 2 * overlap, 4 * beam
-    joined = components(links, "ann")
-    label = classes.join(joined, classes.vec == joined.id, "left").select("vec", "low", F.coalesce("component", "vec").alias("comp"))
+    label = classes.join(joined, "vec", "left").select("vec", "low", F.coalesce("comp", "vec").alias("comp"))
     low = label.groupBy("comp").agg(F.min("low").alias("component_id"))
     label = written(label.join(low, "comp").select("vec", "component_id"), "ann-label")
     keyed = (classes.join(label, "vec").join(counts, "vec", "left")
              .select("e", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = good.join(keyed, "e").select("vec_id", "n_links", "component_id")
-    out = out.union(v.where(F.col("size").isNull() | (F.col("size") != size["size"])).select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return good.join(keyed, "e").select("vec_id", "n_links", "component_id")
+
+
+def near_duplicates(vectors: DataFrame, limit: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """One row per input row: vec_id, n_links, component_id, kept.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing (n_links 0, component_id
+    the own id). Vectors of different lengths have no cosine; each length is searched on its own, one after the other. Equal vectors are one while searching
+    and count as many. Repeated ids are rows of their own; a null id is its own component unless linked. An
+    empty table gives an empty result; other columns are not read.
+    """
+    v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
+    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    valid = F.coalesce(~bad & F.exists("e", lambda x: x != 0), F.lit(False))
+    v = written(v.select("vec_id", F.when(valid, F.col("e")).alias("e"), F.when(valid, F.size("e")).alias("size")), "ann-vectors")
+    out = v.where("size is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for size in sorted(r["size"] for r in v.where("size is not null").select("size").distinct().collect()):  # the lengths there are
+        out = out.union(_of_one_size(v.where(F.col("size") == size).select("vec_id", "e"), limit))
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"),
                       F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
