@@ -10,10 +10,12 @@ no result. A caller with more hashes than a bitmap can tell apart works in
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bits of the largest bitmap (32 MB), as a power of two, and of the least.
 MAX_SLOT_BITS, LEAST_SLOT_BITS = 28, 20
@@ -52,6 +54,21 @@ def parts(batch: pa.RecordBatch, column: int):
         a = b
 
 
+#: Spark removes the shuffle files of a query that ran with this setting when it ends, not when the driver next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries made and run inside leave no shuffle files behind; for results that are collected once."""
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 class Bitmap:
     """One bit a slot. It travels compressed (few bits are set as a rule) and is unpacked once in each worker."""
 
@@ -137,7 +154,9 @@ def slot_bitmap(rows: DataFrame, hashes, bits: int, tagged: bool = False, many:
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = rows.mapInArrow(count, "chunk int, met binary, more binary").repartition(n, "chunk").sortWithinPartitions("chunk")
     out, crowded = np.zeros(1 << bits - 3, np.uint8), [np.zeros(0, np.uint64)]
-    for c, part, crowd in met.mapInArrow(merge, "chunk int, bits binary, crowd binary").collect():  # 2**bits bits at most
+    with shuffles_removed(rows.sparkSession):
+        chunks = met.mapInArrow(merge, "chunk int, bits binary, crowd binary").collect()  # 2**bits bits at most
+    for c, part, crowd in chunks:
         out[c * per // 8:(c + 1) * per // 8] = np.frombuffer(part, np.uint8)
         crowded.append(np.frombuffer(crowd, "<u2").astype(np.uint64) + np.uint64(c * per))
     return (Bitmap(out), np.sort(np.concatenate(crowded))) if many else Bitmap(out)
