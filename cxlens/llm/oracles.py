@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
 from cxlens.llm.queries import SHARD_BYTES
+from cxlens.llm.secrets import ALPHABET, LLR_LIMIT, PSEUDO, RANDOM, STATES, UNIFORM
 
 # Words are split at ASCII white space; a trailing or leading empty piece is no word.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -17,6 +18,52 @@ def _leaf(text: str) -> str:
     return " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
 
 
+def _secrets_sql() -> str:
+    """The whole scan, for tables of at most ``TRAIN_DOCS`` texts, all of which are in the ordinary sample; on larger ones the sample is Spark's hash."""
+    keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"""({keyword})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    run = "[A-Za-z0-9+/_=-]"
+    kinds = [(0, assign, 2), (1, "AKIA[A-Z0-9]+", 0), (2, "[0-9a-f]{24,}", 0), (3, run + "{16,}", 0), (4, run + "{4,}", 0)]
+    found = "\n    UNION ALL\n    ".join(
+        f"SELECT r, {no} AS no, regexp_split_to_array(t, '{p}') AS b, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS v FROM d" for no, p, g in kinds)
+
+    def moves(name, values):
+        chars = f"list_filter(list_transform(string_split(value, ''), lambda c: instr('{ALPHABET}', c)), lambda s: s > 0)"
+        return f"""{name} AS (
+    SELECT value, unnest(list_transform(range(len(s)), lambda i: CASE WHEN i = 0 THEN 0 ELSE s[i] END * {STATES} + s[i + 1])) AS id
+    FROM (SELECT value, {chars} AS s FROM (SELECT DISTINCT value FROM {values})))"""
+
+    size = STATES - 1
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+spans AS (
+    SELECT r, no, start, start + length(hit) AS stop, value
+    FROM (SELECT r, no, v[k + 1] AS value, m[k + 1] AS hit,
+                 (coalesce(list_sum(list_transform(b[1:k + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0))::BIGINT AS start
+          FROM (SELECT *, unnest(range(len(m))) AS k FROM found))),
+base AS (SELECT * FROM spans WHERE length(value) >= CASE no WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END AND no < 3),
+beside AS (SELECT * FROM spans s WHERE no >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND s.start < b.stop AND b.start < s.stop)),
+cands AS (SELECT * FROM beside WHERE no = 3),
+words AS (SELECT * FROM beside WHERE no = 4 AND (length(value) <= 15 OR regexp_full_match(value, '[0-9+-]+'))),
+{moves("random", "base")},
+{moves("ordinary", "words")},
+{moves("tried", "cands")},
+counts AS (
+    SELECT id, coalesce(r, 0) AS r, coalesce(o, 0) AS o, sum(coalesce(r, 0)) OVER w AS rs, sum(coalesce(o, 0)) OVER w AS os
+    FROM range({STATES * STATES}) c(id) LEFT JOIN (SELECT id, count(*) AS r FROM random GROUP BY id) USING (id)
+    LEFT JOIN (SELECT id, count(*) AS o FROM ordinary GROUP BY id) USING (id) WINDOW w AS (PARTITION BY id // {STATES})),
+model AS (
+    SELECT id, ln(({UNIFORM} / {size} + {1 - UNIFORM} * CASE WHEN rs > 0 THEN r::DOUBLE / rs::DOUBLE ELSE 1.0 / {size} END)
+                  / ((o + {PSEUDO})::DOUBLE / (os + {PSEUDO} * {size})::DOUBLE)) AS x FROM counts),
+keys AS (SELECT value FROM tried JOIN model USING (id) GROUP BY value HAVING sum(x) >= {LLR_LIMIT}),
+kept AS (SELECT r, no, start, stop FROM base UNION ALL SELECT r, no, start, stop FROM cands WHERE value IN (SELECT value FROM keys)),
+named AS (SELECT r, no, start, ['assign', 'access', 'hex', '{RANDOM}'][no + 1] || ':' || start || ':' || stop AS span FROM kept)
+SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, no) FILTER (WHERE no < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, no), '') AS spans
+FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id"""
+
+
 ORACLES = {
     "op4_extendible_sharding": f"""
 WITH k AS (
@@ -104,4 +151,5 @@ high_walk AS (
     FROM high_walk w JOIN beside s ON s.lvl = w.lvl AND s.g IS NULL AND s.i = w.i WHERE n > 1)
 SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
 FROM leaves l JOIN high_walk w ON w.of = l.g AND w.leaf_i = l.i AND w.n = 1 JOIN subroots s ON s.g = l.g, (SELECT h FROM outer_nodes WHERE n = 1) r""",
+    "op13_secret_scan": _secrets_sql(),
 }
