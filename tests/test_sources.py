@@ -155,3 +155,60 @@ def test_reference_style_sql_on_registered_views(spark, fixture_tables):
     want = all_reports()["rc_distribution"].run(fixture_tables).collect()
     assert sorted((r[0], r[1]) for r in got) == sorted((r.root_cause, r.detractor_reviews) for r in want)
     assert spark.sql("SELECT COUNT(*) FROM order_items").collect()[0][0] > 0
+
+
+def _marketplace_dir(spark, path, lines):
+    """The six source tables: orders 1, 2, 443, 886 of one customer; ``lines`` as (order, line, part, supplier, price, quantity, discount)."""
+    day = "timestamp_ntz'1995-03-01 00:00:00'"
+    keys = spark.createDataFrame([(1,), (2,), (443,), (886,)], "k long")
+    frames = {
+        "orders": keys.selectExpr("k o_orderkey", "1L o_custkey", "10.0D o_totalprice", f"{day} o_orderdate"),
+        "customer": spark.sql("SELECT 1L c_custkey, 3 c_nationkey"), "nation": spark.sql("SELECT 3 n_nationkey, 'N' n_name"),
+        "part": spark.sql("SELECT 1L p_partkey, 'Brand#11' p_brand, 2 p_size"), "supplier": spark.sql("SELECT 7L s_suppkey, 3 s_nationkey"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double")
+        .selectExpr("*", f"{day} l_shipdate", "0.1D l_tax", "'N' l_returnflag", "'O' l_linestatus"),
+    }
+    for name, df in frames.items():
+        df.coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+LINES = [(1, 1, 1, 17, 5.0, 1.0, 0.0), (1, 1, 1, 7, 6.0, 2.0, 0.1), (1, 1, 1, 7, 6.0, 2.0, 0.0), (1, 2, 1, 5, 1.0, 1.0, 0.0),
+         (443, 2, 1, 9, 1.0, 1.0, 0.0), (443, 1, 1, 27, 1.0, 1.0, 0.0), (886, 1, 1, None, 1.0, 1.0, 0.0), (None, 1, 1, 7, 1.0, 1.0, 0.0)]
+
+
+def test_lines_are_numbered_without_columns_that_no_item_shows(spark, tmp_path):
+    from cxlens.sources.fixtures import derive_items, derive_marketplace
+    d = _marketplace_dir(spark, tmp_path, LINES)
+    items = derive_items(spark.read.parquet(f"{d}/lineitem.parquet"), 3)
+    assert "l_discount" not in items._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.order_id, r.order_item_id): (r.seller_id, float(r.price), r.first_seller) for r in items.collect()}
+    assert rows == {(1, 1): (7, 6.0, 7), (1, 2): (7, 6.0, None), (1, 3): (17, 5.0, None), (1, 4): (5, 1.0, None),
+                    (-443, 1): (27, 1.0, 27), (-443, 2): (9, 1.0, None), (-886, 1): (None, 1.0, None), (None, 1): (None, 1.0, 7)}
+    tables = derive_marketplace(spark, d)
+    assert tables.order_items.columns == ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"]
+
+
+def test_reviews_take_first_sellers_from_the_items(spark, tmp_path):
+    """The lines are shuffled once, for the items; a sort of all lines by a struct took most of the spill."""
+    from cxlens.sources.fixtures import derive_items, derive_marketplace
+    d = _marketplace_dir(spark, tmp_path, LINES)
+    path = f"{d}/written"
+    derive_items(spark.read.parquet(f"{d}/lineitem.parquet")).write.parquet(path)
+    lazy, written = derive_marketplace(spark, d), derive_marketplace(spark, d, spark.read.parquet(path))
+    assert "lineitem" not in " ".join(written.reviews.inputFiles())
+    assert "SortAggregate" not in lazy.reviews._jdf.queryExecution().executedPlan().toString()
+    got = [sorted(map(str, t.reviews.collect())) for t in (lazy, written)]
+    assert got[0] == got[1] and len(got[0]) == 4
+    # The score of an order depends on its first seller: 17 or 7 count, 27 does, 9 does not.
+    s = {k: (k * 15485863 % 10039) % 100 for k in (1, 443)}
+    raised = {k: 22 + 22 for k in s}
+    want = {k: 1 if 2 * s[k] < raised[k] + _threshold(k) else 2 if s[k] < raised[k] + _threshold(k) else 3 if s[k] < raised[k] + _threshold(k) + 9 else 4 if s[k] < raised[k] + _threshold(k) + 38 else 5 for k in s}
+    assert {r.order_id: r.review_score for r in lazy.reviews.collect() if r.order_id in want} == want
+
+
+def _threshold(k: int) -> int:
+    """What late delivery and installments add to the score's threshold, by the rules of FIXTURES.md."""
+    h = k * 2741 % 10061 % 100
+    late = k % 11 != 0 and k * 7919 % 10007 % 100 < 13
+    return (12 if late else 0) + (8 if h < 35 and 1 + h % 10 >= 6 else 0)
