@@ -33,16 +33,20 @@ def seller_rates(v: DataFrame, min_rows: int = MIN_REVIEWED) -> DataFrame:
         F.avg("is_detractor").alias("detractor_rate"), *seller_money()])
 
 
-def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE) -> DataFrame:
-    """Reviewed rows summed per (seller, key), kept for sellers in the P90 cohort.
+def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float = QUANTILE, money: bool = False) -> DataFrame:
+    """Reviewed rows summed per (seller, key), kept for sellers in the P90 cohort; with their gmv if ``money``.
 
     Seller totals are windows partitioned by seller over the roll-up (at
     most one row per key value per seller), and P90 runs over one
     representative row per qualifying seller. A NULL seller takes part
     in the P90 but never matches a seller list, so its rows are dropped.
+    P90 and rows read the same roll-up: neither a column nor a filter sets
+    them apart, so Spark joins and groups the view once for both.
     """
     rollup = (v.filter(reviewed()).groupBy("seller_id", key).agg(
-        n_rows("n"), F.sum("is_detractor").alias("det"), F.sum("order_gmv").alias("gmv")))
+        n_rows("n"), F.sum("is_detractor").alias("det"), *([F.sum("order_gmv").alias("gmv")] if money else [])))
+    if money:
+        rollup = rollup.filter((c("n") > 0) | c("gmv").isNotNull())  # true of every group; P90's roll-up keeps gmv by it
     per_seller = Window.partitionBy("seller_id")
     first = Window.partitionBy("seller_id").orderBy(F.col(key).asc_nulls_first())
     rows = (rollup
@@ -51,7 +55,8 @@ def problem_rows(v: DataFrame, key: str, min_rows: int = MIN_REVIEWED, q: float
             .withColumn("_rep", F.row_number().over(first) == 1))
     eligible = c("seller_n") >= min_rows
     rows = with_quantile(rows, F.when(c("_rep") & eligible, c("seller_rate")), q, "p90")
-    return rows.filter(eligible & (c("seller_rate") >= c("p90")) & c("seller_id").isNotNull())
+    # The NULL seller fails here and not by a filter of its own, which Spark would push below the roll-up.
+    return rows.filter(eligible & (c("seller_rate") >= F.when(c("seller_id").isNotNull(), c("p90"))))
 
 
 @report("seller_overview", uses=["review_score", "seller_id", "is_detractor", "is_promoter",
@@ -92,7 +97,7 @@ def seller_cohort_summary(v: DataFrame, min_rows: int = MIN_REVIEWED,
         uses=["review_score", "seller_id", "category_name", "is_detractor", "order_gmv"])
 def seller_problem_categories(v: DataFrame, min_rows: int = MIN_REVIEWED,
                               q: float = QUANTILE) -> DataFrame:
-    hits = problem_rows(v, "category_name", min_rows, q)
+    hits = problem_rows(v, "category_name", min_rows, q, money=True)
     return (hits.groupBy("category_name").agg(
         F.count("seller_id").alias("problem_sellers"), sum_long("n", "orders"),
         round_half(ratio(F.sum("det"), F.sum("n")) * 100, 1).alias("detractor_rate_pct"),

@@ -85,3 +85,18 @@ def test_invariants_on_fixture(fixture_tables):
     assert len(fk) == 5
     seq = R["rpt_root_cause_sequence"].run(t).collect()
     assert {r.complaint_seq for r in seq} <= {1, 2, 3}
+
+
+def test_problem_categories_join_the_view_once(spark, tmp_path):
+    """P90 and the rows read one roll-up; the NULL seller counts in the P90 and has no rows."""
+    from cxlens.plans.sellers import seller_problem_categories
+    # Detractor rates: seller 1 1/2, seller 2 1, NULL 1; P90 is 1.
+    rows = [(1, 1, "a", 1, 10), (5, 1, "b", 0, 10), (2, 2, "a", 1, 5), (1, 2, None, 1, None), (1, None, "a", 1, 3), (2, None, "b", 1, 3),
+            (None, 2, "a", 1, 100)]
+    (spark.createDataFrame(rows, "review_score int, seller_id long, category_name string, is_detractor int, gmv int")
+     .selectExpr("*", "cast(gmv as decimal(38,2)) order_gmv").write.parquet(str(tmp_path / "view")))
+    out = seller_problem_categories(spark.read.parquet(str(tmp_path / "view")), min_rows=2)
+    assert {tuple(r) for r in out.collect()} == {("a", 1, 1, 100.0, 5.0), (None, 1, 1, 100.0, None)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    grouped = [x for x in plan.splitlines() if "Exchange hashpartitioning(seller_id" in x and "category_name" in x]
+    assert sum("ReusedExchange" not in x for x in grouped) == 1
