@@ -189,34 +189,30 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
                                              ["doc", "row", "seq", "part", *names])
 
     def uses(batches):
+        """The chunks that may be shared; the first of a kind in a batch brings its text."""
         for batch in batches:
-            rows = [(i, k, *_halves(h)) for i, _, _, hs, on in flagged(batch, 2) for k, h in enumerate(hs) if on[k]]
-            cols = list(zip(*rows)) or [[]] * 4
+            rows, met = [], set()
+            for i, raw, spans, hs, on in flagged(batch, 2):
+                for k, h in enumerate(hs):
+                    if on[k]:
+                        rows.append((i, k, *_halves(h), None if h in met else raw[slice(*spans[k])]))
+                        met.add(h)
+            cols = list(zip(*rows)) or [[]] * 5
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[1], pa.int32()),
-                                              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc", "row", "seq", "h0", "h1"])
-
-    def texts(batches):
-        for batch in batches:
-            met = {}
-            for _, raw, spans, hs, on in flagged(batch, 0):
-                for (a, b), h, o in zip(spans, hs, on):
-                    if o and h not in met:
-                        met[h] = raw[a:b]
-            halves = [_halves(h) for h in met]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1)]
-                                             + [pa.array(list(met.values()), pa.binary())], ["h0", "h1", "chunk"])
+                                              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
+                                             ["doc", "row", "seq", "h0", "h1", "chunk"])
 
     def encode_once(batches):
-        tok, last = bpe(tokenizer), None
+        """The ids of each chunk for all its uses, which come together, one with the text first."""
+        tok, last, ids = bpe(tokenizer), None, None
         for batch in batches:
-            rows = []
-            for h0, h1, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = []
+            for h0, h1, chunk in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 if (h0, h1) != last:
-                    last = (h0, h1)
-                    rows.append((h0, h1, tok.encode(chunk.decode()).tobytes()))
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["h0", "h1", "part"])
+                    last, ids = (h0, h1), tok.encode(chunk.decode()).tobytes()
+                parts.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.binary())], ["doc", "row", "seq", "part"])
 
     def assemble(batches):
         tok, doc, parts, copies = bpe(tokenizer), None, [], 0
@@ -254,9 +250,8 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
             yield rows()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encoded = (d.select("text").mapInArrow(texts, "h0 long, h1 long, chunk binary").repartition(n, "h0", "h1")
-               .sortWithinPartitions("h0", "h1").mapInArrow(encode_once, "h0 long, h1 long, part binary"))
-    used = d.mapInArrow(uses, f"doc {kind}, row long, seq int, h0 long, h1 long").join(encoded, ["h0", "h1"])
+    used = (d.mapInArrow(uses, f"doc {kind}, row long, seq int, h0 long, h1 long, chunk binary").repartition(n, "h0", "h1")
+            .sortWithinPartitions("h0", "h1", F.col("chunk").isNull()).mapInArrow(encode_once, f"doc {kind}, row long, seq int, part binary"))
     void = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")]
     parts = d.mapInArrow(own, f"doc {kind}, row long, seq int, part binary, {schema}").unionByName(
         used.select("doc", "row", "seq", "part", *void))

@@ -97,6 +97,16 @@ def test_chunk_reuse_round_trip(spark, tok):
     assert got == want
 
 
+def test_shared_chunks_move_once(spark, tok):
+    """Uses and texts of a chunk meet in one exchange, where it is encoded: no join moves its ids again."""
+    rows = near_copies() * 2
+    out = bpe_codec.codec_report(odd.frame(spark, rows), tok.path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 2
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in out.collect())
+    assert got == Counter((d, len(library_ids(tok, t)), brute.sha_ids(library_ids(tok, t))) for d, t in rows)
+
+
 def test_encode_documents(spark, tok):
     got = {r["doc_id"]: np.frombuffer(r["ids"], tok.dtype).tolist() for r in bpe_codec.encode_documents(odd.frame(spark, near_copies()), tok.path).collect()}
     assert got == {d: library_ids(tok, t) for d, t in near_copies()}
