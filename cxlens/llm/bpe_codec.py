@@ -3,7 +3,7 @@
 Texts are cut where a rolling hash of the last bytes says so, so passages that
 documents share are cut alike wherever they stand. A chunk that several
 documents hold is encoded once, in the task of its hash, and its ids go to all
-of them; what stands between such chunks is encoded where it is read.
+of them (if a batch of rows holds it often, once for that batch); what stands between such chunks is encoded where it is read.
 
 Encoding pieces on their own can differ from encoding the whole near the
 joins. At a certain place (a blank between two ASCII letters or digits and a
@@ -18,6 +18,7 @@ the result is that of the whole text.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from cxlens.llm.bpe import ByteBpe, bpe
 from cxlens.llm.slots import slot_bitmap, slot_bits
 
+#: A chunk used more often than this in one batch is encoded for the batch, apart from its other uses.
+OFTEN = 8
 #: Bytes of a chunk: least, expected beyond the least, most. Rolling window.
 LEAST, MASK, MOST, ROLL = 64, 255, 2048, 16
 
@@ -189,28 +192,33 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
                                              ["doc", "row", "seq", "part", *names])
 
     def uses(batches):
-        """The chunks that may be shared; the first of a kind in a batch brings its text."""
+        """The chunks that may be shared; the first of a kind in a batch brings its text.
+
+        ``apart`` is 0, and for a chunk used often in the batch the batch's own number: however many
+        documents hold a chunk, its uses then lie in many tasks.
+        """
         for batch in batches:
-            rows, met = [], set()
+            rows, met = [], Counter()
             for i, raw, spans, hs, on in flagged(batch, 2):
                 for k, h in enumerate(hs):
                     if on[k]:
-                        rows.append((i, k, *_halves(h), None if h in met else raw[slice(*spans[k])]))
-                        met.add(h)
-            cols = list(zip(*rows)) or [[]] * 5
+                        rows.append((i, k, h, None if h in met else raw[slice(*spans[k])]))
+                        met[h] += 1
+            apart = batch.column(1)[0].as_py() if batch.num_rows else 0
+            cols = list(zip(*((i, k, *_halves(h), apart if met[h] > OFTEN else 0, chunk) for i, k, h, chunk in rows))) or [[]] * 6
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[1], pa.int32()),
-                                              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
-                                             ["doc", "row", "seq", "h0", "h1", "chunk"])
+                                              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()),
+                                              pa.array(cols[5], pa.binary())], ["doc", "row", "seq", "h0", "h1", "apart", "chunk"])
 
     def encode_once(batches):
         """The ids of each chunk for all its uses, which come together, one with the text first."""
         tok, last, ids = bpe(tokenizer), None, None
         for batch in batches:
             parts = []
-            for h0, h1, chunk in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
-                if (h0, h1) != last:
-                    last, ids = (h0, h1), tok.encode(chunk.decode()).tobytes()
+            for *group, chunk in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6))):
+                if group != last:
+                    last, ids = group, tok.encode(chunk.decode()).tobytes()
                 parts.append(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.binary())], ["doc", "row", "seq", "part"])
 
@@ -250,8 +258,8 @@ def _assembled(docs: DataFrame, tokenizer: str, text: str, key: str, result, sch
             yield rows()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    used = (d.mapInArrow(uses, f"doc {kind}, row long, seq int, h0 long, h1 long, chunk binary").repartition(n, "h0", "h1")
-            .sortWithinPartitions("h0", "h1", F.col("chunk").isNull()).mapInArrow(encode_once, f"doc {kind}, row long, seq int, part binary"))
+    used = (d.mapInArrow(uses, f"doc {kind}, row long, seq int, h0 long, h1 long, apart long, chunk binary").repartition(n, "h0", "h1", "apart")
+            .sortWithinPartitions("h0", "h1", "apart", F.col("chunk").isNull()).mapInArrow(encode_once, f"doc {kind}, row long, seq int, part binary"))
     void = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")]
     parts = d.mapInArrow(own, f"doc {kind}, row long, seq int, part binary, {schema}").unionByName(
         used.select("doc", "row", "seq", "part", *void))

@@ -107,6 +107,16 @@ def test_shared_chunks_move_once(spark, tok):
     assert got == Counter((d, len(library_ids(tok, t)), brute.sha_ids(library_ids(tok, t))) for d, t in rows)
 
 
+def test_a_common_chunk_is_dealt_over_tasks(spark, tok):
+    """Copies in six batches: every batch's uses of a chunk are a group of their own, and none of them is lost."""
+    text = near_copies()[0][1]
+    docs = odd.frame(spark, [(i, text + f" {i}") for i in range(60)] + [(100, text)]).repartition(6, "doc_id")
+    plan = bpe_codec.codec_report(docs, tok.path)
+    assert "apart" in plan._jdf.queryExecution().executedPlan().toString()
+    want = {i: brute.sha_ids(library_ids(tok, text + f" {i}")) for i in range(60)} | {100: brute.sha_ids(library_ids(tok, text))}
+    assert {r["doc_id"]: r["ids_sha256"] for r in plan.collect()} == want
+
+
 def test_encode_documents(spark, tok):
     got = {r["doc_id"]: np.frombuffer(r["ids"], tok.dtype).tolist() for r in bpe_codec.encode_documents(odd.frame(spark, near_copies()), tok.path).collect()}
     assert got == {d: library_ids(tok, t) for d, t in near_copies()}
