@@ -40,7 +40,7 @@ def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, str, st
     """Orphans of several edges (label, child, child key, parent, parent key), one row each in the given order.
 
     Every table is read once: a child hands on (edge, key, count) rows for all its keys at a time, counted
-    before they are shuffled, the parents' keys are stacked, and one anti join finds what has no parent. A NULL key is an
+    before they are shuffled, the parents' keys are stacked, and one outer join finds what has no parent. A NULL key is an
     orphan. Keys are compared as text.
     """
     parents = list(dict.fromkeys((parent, pk) for *_, parent, pk in edges))
@@ -59,7 +59,9 @@ def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, str, st
                                             for child, names in children.items()])
     known = reduce(DataFrame.unionByName, [stacked(names, tables[parent]) for parent, names in keys.items()]).withColumnRenamed("no", "parent")
     parent_of = F.get(F.array(*[F.lit(parents.index((parent, pk))) for *_, parent, pk in edges]), F.col("no"))
-    orphans = counts.withColumn("parent", parent_of).join(known, ["parent", "key"], "left_anti").groupBy("no").agg(F.sum("n").alias(out))
+    # Not an anti join: Spark would push it below the stacked children and read every parent once for each of them.
+    found = counts.withColumn("parent", parent_of).join(known.distinct().withColumn("known", F.lit(True)), ["parent", "key"], "left")
+    orphans = found.filter(F.col("known").isNull()).groupBy("no").agg(F.sum("n").alias(out))
     names = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(e[0]).alias(label)) for no, e in enumerate(edges)])
     every = tables[edges[0][1]].sparkSession.range(1).select(F.explode(names).alias("x")).select("x.*")
     return every.join(F.broadcast(orphans), "no", "left").orderBy("no").select(label, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
