@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cxlens.llm.common import bounded_batches
+
 SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 40
 WEIGHTS = (0.2, 0.3, 0.5)
@@ -217,6 +219,7 @@ def _predictor(docs: DataFrame, model: Model):
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):

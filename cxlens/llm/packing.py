@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cxlens.llm.bpe import bpe
-from cxlens.llm.common import written
+from cxlens.llm.common import bounded_batches, written
 
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 1_000
@@ -98,6 +98,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int = 0,
     The ids of a whole text and ``end_id`` after them; only what is longer
     than ``max_tokens`` is cut, and then its first piece is the shorter one.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches):

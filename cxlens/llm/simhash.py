@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cxlens.llm.common import components, written
+from cxlens.llm.common import bounded_batches, components, written
 
 BITS, SEGMENTS, CHAIN = 64, 7, 3
 #: Rows under one key that one task compares with one another.
@@ -59,6 +59,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long), one row for each input row."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def hashed(batches):

@@ -58,3 +58,31 @@ def test_empty_documents(spark):
     docs = odd.frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_batches_of_texts_are_bounded(spark):
+    import pyarrow as pa
+
+    from cxlens.llm import common, language_id, packing, simhash, suffix_dedup
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id doc_id", "repeat(cast(id % 10 as string), 1 << 20) text", "'en' lang")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    model = language_id.fit([("some plain words", "en"), ("quelques mots", "fr")])
+    calls = (lambda: language_id.keep_identified(docs, 0.5, model), lambda: simhash.fingerprints(docs, 4),
+             lambda: suffix_dedup.remove_repeats(docs.limit(1)), lambda: packing.pieces_of(docs, "none.json", 2048))
+    before = spark.conf.get(key, None)
+    try:
+        for call in calls:
+            spark.conf.unset(key)
+            call()
+            found = [r[0] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+            assert max(found) <= common.BATCH_BYTES + (2 << 20) and sum(found) > 40 << 20  # 42 MB in one batch before
+        spark.conf.set(key, "1m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

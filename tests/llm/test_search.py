@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cxlens.llm import embedding_dedup, simhash, suffix_dedup
+from cxlens.llm import embedding_dedup, simhash, slots, suffix_dedup
 from cxlens.llm.common import components
 from tests.llm import brute, odd
 
@@ -146,6 +146,33 @@ def test_removal_of_long_texts_in_segments(spark, monkeypatch):
     assert ((p - a >= 0) & (p - b >= 0) & (p - a <= 34)).all()
 
 
+def _peak(run):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_is_sieved_in_little_memory():
+    rng = np.random.default_rng(5)
+    data, offsets = rng.integers(97, 123, 7 << 20, dtype=np.uint8), np.arange(0, (7 << 20) + 1, 2048, dtype=np.int64)
+    bitmaps = [slots.Bitmap(rng.integers(0, 4, 1 << 17, dtype=np.uint8)) for _ in range(2)]
+    assert _peak(lambda: suffix_dedup.survivors(data, offsets, 50, None, bitmaps)) < 24 << 20  # 55 MB with all anchors at once
+    whole = suffix_dedup._sieved(data, *suffix_dedup.batch_anchors(data, offsets, 50), None, bitmaps, (0, 1))
+    got = suffix_dedup.survivors(data, offsets, 50, None, bitmaps)
+    assert len(got[0]) and all((x == y).all() for x, y in zip(got, whole))
+
+
+def test_windows_are_read_in_little_memory():
+    rng, k = np.random.default_rng(6), 8192
+    spans, at, anchor = rng.integers(0, 255, k * 67, dtype=np.uint8), np.arange(k) * 67, np.arange(k) // 4
+    n = np.full(k, 18)
+    assert _peak(lambda: suffix_dedup.window_owners(anchor, n - 1, np.arange(k), n, spans, at, 50)) < 48 << 20  # 83 MB with a place for each byte
+
+
 def test_remove_repeats_keeps_columns_and_cuts_texts(spark):
     df = odd.frame(spark)
     got = suffix_dedup.remove_repeats(df)
