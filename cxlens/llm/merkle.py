@@ -76,6 +76,13 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return written(out.drop("_at", "_range", "_shift"), "merkle-numbered")
 
 
+def _merged(rows: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join by sorting. Spark would choose a broadcast by the size of the files, and paths, whose steps repeat
+    each other's digests, take far more memory there (and 16 times that as children) than compressed on disk.
+    """
+    return rows.join(other.hint("merge"), on)
+
+
 def _slots(fanout: int) -> list[str]:
     return [f"c{k}" for k in range(fanout)]
 
@@ -117,14 +124,14 @@ def with_paths(levels: list[DataFrame], above: DataFrame, fanout: int) -> DataFr
     """
     more, lower = [c for c in above.columns if c not in ("grp", "path")], None
     for parents in reversed(levels):
-        done = parents.where("size = 1").join(above, "grp")
+        done = _merged(parents.where("size = 1"), above, ["grp"])
         if lower is None:
             lower = done
         else:
             child = F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("k")
             handed = lower.select("*", child).select(
                 "grp", (F.col("idx") * fanout + F.col("k")).alias("idx"), F.concat(F.array(siblings(F.col("k"), fanout)), "path").alias("path"), *more)
-            lower = done.unionByName(parents.where("size > 1").join(handed, ["grp", "idx"]))
+            lower = done.unionByName(_merged(parents.where("size > 1"), handed, ["grp", "idx"]))
         lower = written(lower, "merkle-paths")
     return lower
 
@@ -159,7 +166,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "sour
     lowest = with_paths(levels, above, fanout)
     several = leaves.where("size > 1")
     placed = _placed(several, lowest, no_steps, fanout) if lowest is not None else several.select("*", no_steps.alias("steps"), F.lit("").alias("subroot"))
-    alone = leaves.where("size = 1").join(above.withColumnRenamed("path", "steps"), "grp")
+    alone = _merged(leaves.where("size = 1"), above.withColumnRenamed("path", "steps"), ["grp"])
     columns = ["doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), "steps", *[F.col("carried")[n].alias(n) for n in carry]]
     return placed.select(*columns).unionByName(alone.select(*columns))
 
@@ -169,7 +176,7 @@ def _placed(nodes: DataFrame, parents: DataFrame | None, no_steps: Column, fanou
     if parents is None:
         return nodes.withColumn("steps", no_steps)
     up = parents.drop("size").withColumnRenamed("idx", "parent")
-    out = nodes.withColumn("parent", F.floor(F.col("idx") / fanout)).join(up, ["grp", "parent"])
+    out = _merged(nodes.withColumn("parent", F.floor(F.col("idx") / fanout)), up, ["grp", "parent"])
     return out.withColumn("steps", F.concat(F.array(siblings(F.pmod("idx", F.lit(fanout)), fanout)), "path")).drop("parent", "path", *_slots(fanout))
 
 

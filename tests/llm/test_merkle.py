@@ -122,3 +122,21 @@ def test_a_change_anywhere_shows(spark):
     data = rows(40, ["a", "b"])
     roots = {merkle.manifest(table(spark, d)).first()["root"] for d in (data, data[:-1], [*data[:-1], (*data[-1][:4], "changed")])}
     assert len(roots) == 3
+
+
+def test_no_level_is_broadcast(spark, monkeypatch):
+    """Files of paths are far smaller than the paths in memory, so their size must not choose a broadcast to the driver."""
+    plans, real = {}, merkle.written
+
+    def watched(df, name):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().sparkPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(merkle, "written", watched)
+    data = rows(600, ["a", "b", None]) + [(1000, "alone", "en", 1, "Text")]
+    out = merkle.tamper_report(table(spark, data))
+    plans["result"] = out._jdf.queryExecution().sparkPlan().toString()
+    joined = [n for n, p in plans.items() if "Join" in p and n != "merkle-numbered"]
+    assert {"merkle-paths", "merkle-groups", "result"} <= set(joined)
+    assert not [n for n in joined if "Broadcast" in plans[n]]
+    assert Counter(map(tuple, out.collect())) == brute(data)
