@@ -268,6 +268,93 @@ def test_removal_in_ranges_of_hashes(spark, monkeypatch):
     assert got == brute.removal(rows)
 
 
+def _small_bitmaps(monkeypatch):
+    monkeypatch.setattr(slots, "CHUNKS", 4)
+    monkeypatch.setattr(slots, "MAX_SLOT_BITS", 11)
+    monkeypatch.setattr(slots, "LEAST_SLOT_BITS", 11)
+
+
+@pytest.mark.parametrize("depth", [50, 67])
+def test_removal_beyond_the_largest_bitmap_finds_anchors_once(spark, monkeypatch, depth):
+    """However many ranges the bitmaps would take, texts are packed once and spans written once."""
+    from cxlens.llm import packs
+    names, real = Counter(), suffix_dedup.written
+
+    def counted(df, name, *more):
+        names[name] += 1
+        return real(df, name, *more)
+
+    _small_bitmaps(monkeypatch)
+    monkeypatch.setattr(packs, "CHUNK_KEYS", 50)
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    rows = [r for r in odd.texts() if r[0] != 8] + repeats()
+    assert slots.ranges(2 * sum(len((t or "").encode()) for _, t in rows) // (depth - 14)) > 1
+    got = Counter(map(tuple, suffix_dedup.removal_report(odd.frame(spark, rows), depth).collect()))
+    assert got == brute.removal(rows, depth)
+    assert names["suffix-spans"] == names["suffix-packs"] == 1
+
+
+def test_crowded_anchors_beyond_the_largest_bitmap(spark, monkeypatch):
+    _small_bitmaps(monkeypatch)
+    test_no_task_holds_a_crowded_anchor(spark, monkeypatch)
+
+
+@pytest.mark.parametrize("beyond", [False, True])
+def test_removal_of_a_few_bytes(spark, monkeypatch, beyond):
+    if beyond:
+        monkeypatch.setattr(suffix_dedup, "ranges", lambda hashes: 2)
+    rows = [(1, "abc"), (2, "abc"), (3, ""), (4, None)]
+    got = Counter(map(tuple, suffix_dedup.removal_report(odd.frame(spark, rows)).collect()))
+    assert got == brute.removal(rows)
+
+
+def test_anchors_of_runs(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    raw = [b"", b"x" * 49, *[t.encode() for _, t in repeats()], b"short", " ".join(t for _, t in repeats()).encode(), b""]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    for depth in (50, 67):
+        h, p, a, b, t = want = suffix_dedup.batch_anchors(data, offsets, depth)
+        got = suffix_dedup.anchors_of_runs(data, offsets, p - a, b - a, depth)
+        assert len(h) and all((x == y).all() for x, y in zip(got, want))
+        none = np.zeros(0, np.int64)
+        assert not len(suffix_dedup.anchors_of_runs(data[:20], np.array([0, 0, 20]), none, none, depth)[0])
+
+
+@pytest.mark.parametrize("tagged", [False, True])
+def test_marks_of_packs(spark, monkeypatch, tagged):
+    """Keys that several packs send, or send with several tags, and those that stand for many rows."""
+    from cxlens.llm import packs
+    monkeypatch.setattr(packs, "CHUNK_KEYS", 10)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    chunks, many = packs.chunks_for(100), 6
+    sent = {}
+    for pack in range(9):
+        keys = np.unique(packs.placed(rng.choice(words, pack * 4, replace=False), chunks))
+        sent[pack] = (keys, (keys % np.uint64(7) + (rng.random(len(keys)) < 0.2)).astype(np.uint64), rng.integers(1, 3, len(keys)))
+
+    def keys_of(batch):
+        for pack in batch.column(0).to_pylist():
+            keys, tag, n = sent[pack]
+            yield pack, keys, tag if tagged else None, n if tagged else None
+
+    marks = packs.marked(spark.range(9), keys_of, "test-marks", many)
+    met, tags, rows = Counter(), {}, Counter()
+    for keys, tag, n in sent.values():
+        for k, g, c in zip(keys.tolist(), tag.tolist(), n.tolist()):
+            met[k] += 1
+            tags.setdefault(k, set()).add(g)
+            tags[k] |= {-1, -2} if c > 1 else set()  # two tags in one pack
+            rows[k] += c
+    for pack, (keys, _, _) in sent.items():
+        got = [x.tolist() for x in marks.of(pack, keys)]
+        more = [len(tags[k]) > 1 if tagged else met[k] > 1 for k in keys.tolist()]
+        assert got == [more, [tagged and m and rows[k] > many for m, k in zip(more, keys.tolist())]]
+    assert marks.crowded == tagged
+
+
 def test_share_of_slots_set_at_scale():
     """As many anchors as 30 GB of compressed texts have, in their ranges: chance sets under a tenth of a range's slots."""
     from cxlens.llm import slots
